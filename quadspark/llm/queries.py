@@ -21,5 +21,51 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), size=35)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op10_substring_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts with thresholds per language and source."""
+    from .quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents that lie in 10-word windows of benchmark items."""
+    from .decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as a content-addressed archive and read back."""
+    from .warc_archive import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from those not held out."""
+    from .language_id import predict
+
+    return predict(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op4_quality_rules,
+        op5_benchmark_decontamination,
+        op6_warc,
+        op7_language_id,
+        op10_substring_dedup,
+    )
+}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        q AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+        FROM q""",
+}
