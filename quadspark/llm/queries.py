@@ -49,14 +49,46 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines within two edits of an earlier line of at least 30 code points, or equal to one."""
+    from .line_dedup import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as pieces, with the three best segmentations' losses and the exact round trip."""
+    from .sentence_pieces import encode
+
+    return encode(table(spark, sf_dir, "documents"), n=3)
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from .html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, with linked parts."""
+    from .secret_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join,
+        op2_line_dedup,
+        op3_sentencepiece,
         op4_quality_rules,
         op5_benchmark_decontamination,
         op6_warc,
         op7_language_id,
+        op8_html_extraction,
+        op9_secret_scan,
         op10_substring_dedup,
     )
 }
