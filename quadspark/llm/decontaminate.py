@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .shared import bounded_batches
 from .fm_index import FMIndex
 
 BLOCK_BYTES = 16 << 20
@@ -229,6 +230,7 @@ def pattern_blocks(benchmark: DataFrame, width: int):
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of docs(doc_id, text)."""
+    bounded_batches(docs.sparkSession)
     blocks = pattern_blocks(benchmark, width)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()

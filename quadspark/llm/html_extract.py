@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .fm_index import suffix_array
 from .packed import bits_for
-from .shared import cut, parts_of
+from .shared import bounded_batches, cut, parts_of
 
 #: Tags by role.
 BLOCK_TAGS = frozenset(
@@ -266,6 +266,7 @@ def _joined(share: float):
 
 def extract(pages: DataFrame, window: int = WINDOW, share: float = 0.8) -> DataFrame:
     """pages(page_id, url, html) -> (page_id, url, text, n_chars)."""
+    bounded_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     bits = bits_for(parts_of(pages, 16))
     parsed = cut(pages.mapInArrow(_blocks, "page_id long, url string, blocks array<string>, places array<int>"), "blocks")

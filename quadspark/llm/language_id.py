@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .shared import bounded_batches
 
 PER_LABEL = 300
 LANDMARKS = 192
@@ -163,6 +164,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def identify(docs: DataFrame, model, keep: list[str]) -> DataFrame:
     """Columns `keep` of docs with lang_pred and score of every whole text."""
+    bounded_batches(docs.sparkSession)
     source = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
     return source.withColumn("text", F.col("text").cast("string")).mapInArrow(_score(model, keep), f"{schema}, lang_pred string, score double")

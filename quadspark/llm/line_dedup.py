@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .packed import BLOB_SCHEMA, Packer, bits_for, bucketed, unpack
-from .shared import cut, parts_of, small
+from .shared import bounded_batches, cut, parts_of, small
 
 EDITS = 2
 LEAST = 30
@@ -292,12 +292,14 @@ def _kept(with_text: bool):
 
 def report(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(doc_id, n_lines with a word, n_removed, kept_sha256 of the text that is left)."""
+    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.join(removals(slim, edits, least), "doc_id", "left").mapInArrow(_kept(False), "doc_id long, n_lines long, n_removed long, kept_sha256 string")
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """docs without the removed lines, all columns, with n_lines and n_removed. docs must not have columns of these names or `gone`."""
+    bounded_batches(docs.sparkSession)
     joined = docs.withColumn("text", F.col("text").cast("string")).join(removals(docs, edits, least), "doc_id", "left").select(*docs.columns, "gone")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name != "gone") + ", n_lines long, n_removed long"
     return joined.mapInArrow(_kept(True), schema)

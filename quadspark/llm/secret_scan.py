@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 #: The base patterns.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -133,6 +135,7 @@ def _scan(reach: int):
 
 def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_assign, n_access, n_hex, base_sha256, spans)."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(_scan(reach), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

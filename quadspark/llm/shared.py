@@ -23,6 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of at most `rows` rows, where the session has Spark's own default: rows here are whole texts or sets of hashes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession

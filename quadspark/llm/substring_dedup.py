@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .packed import BLOB_SCHEMA, Packer, bits_for, bucketed, unpack
-from .shared import cut, parts_of
+from .shared import bounded_batches, cut, parts_of
 
 
 def _super_kmers(w: K.Words, size: int, m: int):
@@ -223,6 +223,7 @@ def _without(with_text: bool):
 
 def remove_repeats(docs: DataFrame, size: int = 35, minimiser: int = 8, with_text: bool = False) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_words, n_removed, kept_sha256[, kept]): kept words joined by one space."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bits = bits_for(parts_of(docs, 16))
     told = docs.where("doc_id is not null").mapInArrow(_announce(size, minimiser, bits), BLOB_SCHEMA)
