@@ -19,7 +19,7 @@ from .plans import algebra as A
 from .plans.explain import plan
 from .plans.parser import ParseError, fresh_blank, parse_query, parse_update
 from .sources import ntriples as N
-from .store import QuadStore, bare, in_graph
+from .store import QuadStore, bare, in_graph, local_df
 
 _SCOPE = {"data": "graph"}
 OMITTED = object()
@@ -111,7 +111,7 @@ class Graph:
         """Triples about the described nodes."""
         rows = compiler.scan(None)
         names = [n for n in q.template if not A.is_var(n)]
-        nodes = self.spark.createDataFrame([(n,) for n in names], "n string")
+        nodes = local_df(self.spark, [(n,) for n in names], "n string")
         if any(A.is_var(n) for n in q.template):
             found = compiler.select(A.Select(**{**vars(q.select), "projection": None}))
             for v in q.template:
@@ -251,14 +251,21 @@ def instantiate(found: Solutions, template: list, graph: str | None) -> DataFram
         c = found.col(term)
         return F.lit(None).cast("string") if c is None else c
 
+    def sound(term):
+        """Whether the triple inside a quoted term could be stated."""
+        if not isinstance(term, A.Quoted):
+            return F.lit(True)
+        s, p = col(term.s), col(term.p)
+        return (T.is_iri(s) | T.is_blank(s) | T.is_quoted(s)) & T.is_iri(p) & col(term.o).isNotNull() & sound(term.s) & sound(term.o)
+
     rows = []
     for g, t in template:
         name = F.lit(graph).cast("string") if g is None else T.c_lexical(col(g)) if A.is_var(g) else F.lit(g)
         legal = (T.is_iri(F.col("s")) | T.is_blank(F.col("s")) | T.is_quoted(F.col("s"))) & T.is_iri(F.col("p")) & F.col("o").isNotNull()
-        part = df.select(col(t.s).alias("s"), col(t.p).alias("p"), col(t.o).alias("o"), name.alias("g")).where(legal)
+        part = df.where(sound(t.s) & sound(t.o)).select(col(t.s).alias("s"), col(t.p).alias("p"), col(t.o).alias("o"), name.alias("g")).where(legal)
         rows.append(part.where(F.col("g").isNotNull()) if g is not None else part)
     if not rows:
-        return found.df.sparkSession.createDataFrame([], N.QUADS)
+        return local_df(found.df.sparkSession, [], N.QUADS)
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)

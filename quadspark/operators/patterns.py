@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import terms as T
 from ..functions.expressions import EvaluationError, Expressions, V, order_key
 from ..plans import algebra as A
-from ..store import QuadStore, pin
+from ..store import QuadStore, local_df, pin
 
 
 @dataclass
@@ -33,7 +33,7 @@ def column(var: str) -> str:
 
 @dataclass(frozen=True)
 class Dataset:
-    """default: graphs merged into the default graph (None: the store's own). named: the visible named graphs (None: all)."""
+    """default: graphs merged into the default graph (None: the store's own, which is also what a None among them means). named: the visible named graphs (None: all)."""
 
     default: tuple | None = None
     named: tuple | None = None
@@ -55,7 +55,9 @@ class Compiler:
             wanted = self.dataset.default
             if wanted is None:
                 return self.quads.where("g is null").select("s", "p", "o")
-            rows = self.quads.where(F.col("g").isin(list(wanted)) if wanted else F.lit(False)).select("s", "p", "o")
+            names = [g for g in wanted if g is not None]
+            here = F.col("g").isin(names) if names else F.lit(False)
+            rows = self.quads.where(here | F.col("g").isNull() if None in wanted else here).select("s", "p", "o")
             return rows.distinct() if len(wanted) > 1 else rows
         named = self.dataset.named
         if A.is_var(graph):
@@ -356,7 +358,7 @@ class Compiler:
 
     def values(self, node: A.Values) -> Solutions:
         schema = ", ".join(f"{column(v)} string" for v in node.vars)
-        df = self.store.spark.createDataFrame([tuple(r) for r in node.rows], schema)
+        df = local_df(self.store.spark, [tuple(r) for r in node.rows], schema)
         return Solutions(df, {v: all(r[k] is not None for r in node.rows) for k, v in enumerate(node.vars)})
 
     # select

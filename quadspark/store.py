@@ -7,13 +7,17 @@ import tempfile
 import threading
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from .sources.ntriples import QUADS, quoted_relation
 
 #: Snapshots of at most this many rows are kept as local relations in the plan.
 LOCAL_ROWS = 2000
+#: A snapshot is written anew after so many inserts.
+MOST_PIECES = 16
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,27 +30,41 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", spark.sparkContext.applicationId)
 
 
+def local_df(spark: SparkSession, rows: list, schema: str | StructType) -> DataFrame:
+    """A few rows as a local relation: the optimizer knows their size and joins with them need no shuffle."""
+    fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    if any(f.dataType != StringType() for f in fields):
+        return spark.createDataFrame(rows, fields)
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+    table = pa.table([pa.array(c, pa.string()) for c in columns], names=fields.names)
+    return spark.createDataFrame(table, fields)
+
+
 def pin(df: DataFrame) -> DataFrame:
-    """Ends df's lineage: written to the shared folder and reread, or a local relation if its rows are few."""
+    return pinned(df)[0]
+
+
+def pinned(df: DataFrame) -> tuple[DataFrame, int]:
+    """Ends df's lineage and counts its rows: written to the shared folder and reread, or a local relation if its rows are few."""
     spark = df.sparkSession
-    head = df.limit(LOCAL_ROWS + 1).collect() if _is_small(df) else None
-    if head is not None and len(head) <= LOCAL_ROWS:
-        return spark.createDataFrame(head, df.schema)
+    if _is_small(df):
+        rows = df.limit(LOCAL_ROWS + 1).collect()
+        if len(rows) <= LOCAL_ROWS:
+            return local_df(spark, rows, df.schema), len(rows)
     path = f"{shared_folder(spark)}/quadspark/pin-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    rows = out.limit(LOCAL_ROWS + 1).collect()
-    return spark.createDataFrame(rows, df.schema) if len(rows) <= LOCAL_ROWS else out
+    n = out.count()  # from the files' footers
+    return (local_df(spark, out.collect(), df.schema) if n <= LOCAL_ROWS else out), n
 
 
 def _is_small(df: DataFrame) -> bool:
     """Whether the optimizer bounds df's size so low that computing it for a look costs nothing to speak of."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size < 1 << 24
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 24
 
 
 def empty(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], QUADS)
+    return local_df(spark, [], QUADS)
 
 
 def same_quad(a: str = "a", b: str = "b"):
@@ -76,6 +94,7 @@ class QuadStore:
         self.spark, self.lock, self.version = spark, threading.RLock(), 0
         self.quads = empty(spark) if quads is None else quads.select("s", "p", "o", "g")
         self._quoted: tuple[int, DataFrame] | None = None
+        self._pieces = 1
 
     def quoted(self) -> DataFrame:
         if self._quoted is None or self._quoted[0] != self.version:
@@ -89,17 +108,21 @@ class QuadStore:
     def insert(self, rows: DataFrame) -> int:
         """Adds quads; returns how many are new."""
         with self.lock:
-            new = pin(minus(rows.select("s", "p", "o", "g").distinct(), self.quads))
-            n = new.count()
+            new, n = pinned(minus(rows.select("s", "p", "o", "g").distinct(), self.quads))
             if n:
-                self.swap(pin(self.quads.unionByName(new)))
+                # the old snapshot's files are kept; only the new rows are written, until there are many pieces
+                self._pieces += 1
+                grown = self.quads.unionByName(new)
+                if self._pieces >= MOST_PIECES or _is_small(grown):
+                    grown = pin(grown)
+                    self._pieces = 1
+                self.swap(grown)
             return n
 
     def delete(self, rows: DataFrame) -> int:
         """Removes quads; returns how many there were."""
         with self.lock:
-            gone = pin(self.quads.alias("a").join(rows.select("s", "p", "o", "g").distinct().alias("b"), same_quad(), "left_semi"))
-            n = gone.count()
+            gone, n = pinned(self.quads.alias("a").join(rows.select("s", "p", "o", "g").distinct().alias("b"), same_quad(), "left_semi"))
             if n:
                 self.swap(pin(minus(self.quads, gone)))
             return n
@@ -109,8 +132,9 @@ class QuadStore:
         with self.lock:
             before = self.quads.count()
             kept = minus(self.quads, removed.select("s", "p", "o", "g").distinct())
-            self.swap(pin(kept.unionByName(added.select("s", "p", "o", "g")).distinct()))
-            return self.quads.count() - before
+            after, n = pinned(kept.unionByName(added.select("s", "p", "o", "g")).distinct())
+            self.swap(after)
+            return n - before
 
     def clear(self, graph: str | None = None, everything: bool = False, named: bool = False) -> int:
         with self.lock:
@@ -128,4 +152,4 @@ class QuadStore:
         return (self.quads if everything else in_graph(self.quads, graph)).count()
 
     def rows(self, rows: list[tuple]) -> DataFrame:
-        return self.spark.createDataFrame(rows, QUADS) if rows else empty(self.spark)
+        return local_df(self.spark, rows, QUADS)
