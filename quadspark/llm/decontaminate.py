@@ -107,12 +107,13 @@ def _hits(hashes: np.ndarray, first: np.ndarray, p: Patterns):
     return begin[run] + place - at[run], p.lengths[pattern], pattern
 
 
-def _merged(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Union of spans as disjoint [start, end), ordered."""
+def _merged(start: np.ndarray, length: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Union of spans as [start, end), ordered; spans that touch are joined within a document (first: where each begins)."""
     order = np.argsort(start, kind="stable")
     start, end = start[order], np.maximum.accumulate((start + length)[order])
+    doc = np.searchsorted(first, start, "right")
     opens = np.ones(len(start), bool)
-    opens[1:] = start[1:] > end[:-1]
+    opens[1:] = (start[1:] > end[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(opens)
     return start[at], end[np.append(at[1:], len(start)) - 1] if len(at) else end[:0]
 
@@ -155,7 +156,7 @@ class _Shard:
             lengths.append(length)
             if len(self.blocks) > 1:
                 block.__dict__.pop("_value", None)  # one block in memory at a time
-        start, end = _merged(np.concatenate([np.empty(0, np.int64), *starts]), np.concatenate([np.empty(0, np.int64), *lengths]))
+        start, end = _merged(np.concatenate([np.empty(0, np.int64), *starts]), np.concatenate([np.empty(0, np.int64), *lengths]), first)
         doc = np.searchsorted(first, start, "right") - 1
         n_hit = np.zeros(len(counts), np.int64)
         np.add.at(n_hit, doc, end - start)

@@ -76,13 +76,13 @@ def thresholds(measured: DataFrame, spread: float = 4.0) -> DataFrame:
     sketch = cut(sketch, "sketches")
     merged = [F.kll_merge_agg_double(r).alias(f"{r}_") for r in UPPER]
     lang = sketch.groupBy("lang").agg(F.sum("n").alias("n_"), *merged)
-    every = sketch.groupBy().agg(*merged)
-    every = every.select([F.col(f"{r}_").alias(f"{r}_all") for r in UPPER])
+    every = sketch.groupBy().agg(F.sum("n").alias("n_all"), *merged)
+    every = every.select("n_all", *(F.col(f"{r}_").alias(f"{r}_all") for r in UPPER))
     groups = measured.select(*key).distinct()
     own = groups.join(sketch, ["lang", "source"], "left").join(lang, "lang", "left").join(F.broadcast(every))  # one row
     columns = []
     for r, floor in UPPER.items():
-        s = F.when(F.col("n") >= LEAST_GROUP, F.col(r)).when(F.col("n_") >= LEAST_GROUP, F.col(f"{r}_")).otherwise(F.col(f"{r}_all"))
+        s = F.when(F.col("n") >= LEAST_GROUP, F.col(r)).when(F.col("n_") >= LEAST_GROUP, F.col(f"{r}_")).when(F.col("n_all") > 0, F.col(f"{r}_all"))  # none: nothing is known, nothing is dropped
         q = lambda p: F.kll_sketch_get_quantile_double(s, F.lit(p))  # noqa: B023,E731
         columns.append(F.greatest(F.lit(floor), q(0.9) + spread * (q(0.9) - q(0.5))).alias(f"{r}_max"))
         if r in LOWER:

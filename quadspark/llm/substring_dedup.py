@@ -71,10 +71,14 @@ _PLACES = pa.schema([("doc_id", pa.int64()), ("places", pa.binary())])
 
 def _by_document(ids: np.ndarray, start: np.ndarray, count: np.ndarray) -> pa.Table:
     """One row per document with its (start, count) pairs packed."""
+    if not len(ids):
+        return _PLACES.empty_table()
     order = np.argsort(ids, kind="stable")
     ids, start, count = ids[order], start[order], count[order]
-    head = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1)) if len(ids) else np.empty(0, np.int64)
-    pairs = np.stack([start, count], 1).astype(np.int32) if len(ids) else np.empty((0, 2), np.int32)
+    new = np.ones(len(ids), bool)
+    new[1:] = ids[1:] != ids[:-1]
+    head = np.flatnonzero(new)
+    pairs = np.stack([start, count], 1).astype(np.int32)
     ends = np.append(head[1:], len(ids))
     return pa.table([pa.array(ids[head]), pa.array([pairs[i:j].tobytes() for i, j in zip(head, ends, strict=True)], pa.binary())], schema=_PLACES)
 
