@@ -8,8 +8,9 @@ A line of length n is cut into EDITS + 1 segments. If two lines are within EDITS
 one segment of the shorter line stands unchanged in the longer one, near its own place. So each line
 enters (length, segment number, segment) keys into an index, and probes the keys
 of lengths n - EDITS to n with the few substrings whose place a match allows. Entries
-are packed by key; lines meeting in a key are verified by a banded bit-parallel
-edit distance over whole lines, many pairs at once.
+are packed by key; lines that meet in a key are a group. Groups travel with their texts, and
+are verified by a banded bit-parallel edit distance over whole lines, many pairs at
+once. Only lines that are late leave a group, never pairs.
 
 Defined results: null text is empty and has no lines. Repeated rows and ids are ordered by
 id, so a repeated row loses its lines to the first (ties of one doc_id: each line number is kept once).
@@ -132,30 +133,31 @@ def _keys(least: int, edits: int, bits: int):
 
 
 def _meetings(table: pa.Table) -> pa.Table:
-    """Distinct pairs (u, v), u < v, of lines of which one indexed a key that the other has."""
+    """Groups of lines that share a key which one of them indexed: (group, line, size). Equal groups of one bucket are one."""
     key, name, own = unpack(table.column("blob"), [np.int64, np.uint8])
-    order = np.argsort(key, kind="stable")
+    order = np.lexsort((name, key))
     key, name, own = key[order], name[order], own[order]
-    head = np.flatnonzero(np.diff(key, prepend=key[0] + np.uint64(1))) if len(key) else np.empty(0, np.int64)
-    size = np.diff(np.append(head, len(key)))
-    us, vs = [], []
-    for a, c in zip(head[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-        index = np.unique(name[a : a + c][own[a : a + c] == 1])
-        if not len(index):
-            continue
-        every = np.unique(name[a : a + c])
-        if len(every) < 2:
-            continue
-        for i in range(0, len(index), 1024):
-            u, v = np.broadcast_arrays(index[i : i + 1024, None], every[None, :])
-            u, v = u.ravel(), v.ravel()
-            keep = u != v
-            us.append(np.minimum(u[keep], v[keep]))
-            vs.append(np.maximum(u[keep], v[keep]))
-    if not us:
-        return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-    pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], 1), axis=0)
-    return pa.table({"u": pa.array(pairs[:, 0]), "v": pa.array(pairs[:, 1])})
+    new_key = np.ones(len(key), bool)
+    new_key[1:] = key[1:] != key[:-1]
+    new = new_key.copy()
+    new[1:] |= name[1:] != name[:-1]
+    at = np.flatnonzero(new)
+    indexed = np.bitwise_or.reduceat(own, at) if len(at) else own
+    name, head = name[at], np.flatnonzero(new_key[at])
+    size = np.diff(np.append(head, len(at)))
+    keep = (size > 1) & (np.add.reduceat(indexed.astype(np.int64), head) > 0) if len(head) else size > 1
+    head, size = head[keep], size[keep]
+    if not len(head):
+        return _GROUPS.empty_table()
+    pick = K.ranges(head, size)
+    begin = np.cumsum(size) - size
+    mark = np.add.reduceat(K.mix(name[pick].view(np.uint64)), begin) ^ size.astype(np.uint64)
+    _, one = np.unique(mark, return_index=True)
+    n = size[one]
+    return pa.table([pa.array(np.repeat(mark[one].view(np.int64), n)), pa.array(name[K.ranges(head[one], n)]), pa.array(np.repeat(n, n))], schema=_GROUPS)
+
+
+_GROUPS = pa.schema([("group", pa.int64()), ("line", pa.int64()), ("size", pa.int64())])
 
 
 def _line_texts(least: int):
@@ -197,8 +199,7 @@ def _banded(xs: list[str], ys: list[str], m1: np.ndarray, m2: np.ndarray, t: int
     mask = np.uint64((1 << width) - 1)
     vp = np.full(n, ((1 << width) - 1) & ~((1 << t) - 1), np.uint64)
     vn = np.zeros(n, np.uint64)
-    distance = np.full(n, t, np.int64)
-    bottom = np.full(n, 2 * t, np.int64)  # bit of the last pattern place, once the band passes it
+    distance = np.minimum(t, m1).astype(np.int64)
     for j in range(longest2):
         match = np.zeros(n, np.uint64)
         for b in range(width):
@@ -209,37 +210,80 @@ def _banded(xs: list[str], ys: list[str], m1: np.ndarray, m2: np.ndarray, t: int
         live = j < m2
         diagonal = j + t < m1
         step = np.where(diagonal, ((d0 >> np.uint64(2 * t)) & one == 0).astype(np.int64), 0)
-        bottom = np.where(diagonal, 2 * t, bottom - 1)
-        place = np.maximum(bottom, 0).astype(np.uint64)
+        place = np.maximum(m1 - 1 - j + t, 0).clip(max=2 * t).astype(np.uint64)  # bit of the last pattern place
         side = ((hp >> place) & one).astype(np.int64) - ((hn >> place) & one).astype(np.int64)
         distance += np.where(live, np.where(diagonal, step, side), 0)
         low = d0 >> one
         vp = (hn | ~(low | hp)) & mask
         vn = low & hp
-    return distance
+    return np.where(m1 == 0, m2, distance)
+
+
+def _late(edits: int):
+    """Lines of whole groups that come after a line within `edits` edits. Each group's first line is compared with all others; only those it does not settle are compared with the rest."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("group", "ascending"), ("block", "ascending"), ("doc_id", "ascending"), ("number", "ascending"), ("line", "ascending")])
+        group, block, line, side = (table.column(c).to_numpy() for c in ("group", "block", "line", "side"))
+        text = table.column("text").to_pylist()
+        head = np.ones(len(line), bool)
+        head[1:] = (group[1:] != group[:-1]) | (block[1:] != block[:-1])
+        head = np.flatnonzero(head)
+        size = np.diff(np.append(head, len(line)))
+        late: set[int] = set()
+        done: set[tuple[int, int]] = set()
+        waiting: list[tuple[int, int]] = []
+
+        def settle():
+            if waiting:
+                hit = within([text[i] for i, _ in waiting], [text[j] for _, j in waiting], edits)
+                late.update(int(line[waiting[k][1]]) for k in np.flatnonzero(hit))
+                waiting.clear()
+
+        def compare(i: int, j: int):
+            pair = (int(line[i]), int(line[j]))
+            if pair not in done and pair[1] not in late and (side[i] < 0 or side[i] != side[j]):
+                done.add(pair)
+                waiting.append((i, j))
+                if len(waiting) >= 8192:
+                    settle()
+
+        for a, n in zip(head.tolist(), size.tolist(), strict=True):
+            for j in range(a + 1, a + n):
+                compare(a, j)
+        settle()
+        for a, n in zip(head.tolist(), size.tolist(), strict=True):
+            for j in range(a + 2, a + n):
+                if int(line[j]) not in late:
+                    for i in range(a + 1, j):
+                        compare(i, j)
+        settle()
+        return pa.table({"line": pa.array(sorted(late), pa.int64())})
 
+    return run
 
-def _verified(edits: int):
-    def run(batches):
-        for batch in batches:
-            keep = within(batch.column("x").to_pylist(), batch.column("y").to_pylist(), edits)
-            yield pa.record_batch([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep))
 
-    return run
+#: Groups of more lines are compared block by block.
+BLOCK_LINES = 4096
 
 
-def near_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """Pairs (u, v) of hashes of different lines within `edits` edits."""
+def late_lines(docs: DataFrame, first: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+    """(line): hashes of lines within `edits` edits of a different line that comes before; first: (line, first) of all lines."""
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    bits = bits_for(parts_of(docs, 32, 2))
-    blobs = texts.mapInArrow(_keys(least, edits, bits), BLOB_SCHEMA)
-    pairs = cut(bucketed(blobs, _meetings, "u long, v long").distinct(), "pairs")
-    wanted = cut(pairs.select(F.col("u").alias("line")).union(pairs.select(F.col("v").alias("line"))).distinct(), "wanted")
-    # the pairs that met are few; the hint goes only to a counted table
-    lines = texts.mapInArrow(_line_texts(least), "line long, text string").join(small(wanted, 32), "line", "left_semi").dropDuplicates(["line"])
-    lines = cut(lines, "lines")
-    both = pairs.join(lines.select(F.col("line").alias("u"), F.col("text").alias("x")), "u").join(lines.select(F.col("line").alias("v"), F.col("text").alias("y")), "v")
-    return both.select("u", "v", "x", "y").mapInArrow(_verified(edits), "u long, v long")
+    parts = 1 << bits_for(parts_of(docs, 32, 2))
+    blobs = texts.mapInArrow(_keys(least, edits, bits_for(parts)), BLOB_SCHEMA)
+    groups = cut(bucketed(blobs, _meetings, "group long, line long, size long").distinct(), "groups")
+    wanted = cut(groups.select("line").distinct(), "wanted")
+    # the lines that met are few; the hint goes only to a counted table
+    lines = texts.mapInArrow(_line_texts(least), "line long, text string").join(small(wanted, 16), "line", "left_semi").dropDuplicates(["line"])
+    placed = lines.join(first.select("line", "first.doc_id", "first.number"), "line")
+    blocks = F.ceil(F.col("size") / BLOCK_LINES).cast("int")
+    own = F.pmod(F.xxhash64("line"), blocks).cast("int")
+    rows = groups.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own")).alias("side")  # two lines of one side meet in that side's own block
+    rows = rows.select("group", "line", side, (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).cast("long").alias("block"))
+    rows = rows.join(placed, "line").withColumn("part", F.pmod(F.xxhash64("group", "block"), F.lit(parts)).cast("int"))
+    return rows.groupBy("part").applyInArrow(_late(edits), "line long").distinct()
 
 
 def removals(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
@@ -248,13 +292,9 @@ def removals(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFra
     lines = cut(docs.mapInArrow(_occurrences, "line long, doc_id long, number int"), "occurrences")
     at = F.struct("doc_id", "number")
     first = lines.groupBy("line").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
-    near = cut(near_lines(docs, edits, least), "near")
-    ends = near.select(F.col("u").alias("line")).union(near.select(F.col("v").alias("line"))).distinct()
-    known = cut(first.join(small(ends, 32), "line", "left_semi"), "first")
-    # of each near pair the line that comes later goes, in all its occurrences
-    both = near.join(known.select(F.col("line").alias("u"), F.col("first").alias("a")), "u").join(known.select(F.col("line").alias("v"), F.col("first").alias("b")), "v")
-    late = both.select(F.when(F.col("a") > F.col("b"), F.col("u")).otherwise(F.col("v")).alias("line")).distinct().withColumn("late", F.lit(True))
-    verdict = first.where("n > 1").join(late, "line", "full").select("line", "first", F.coalesce("late", F.lit(False)).alias("late"))
+    # a line close to an earlier one goes in all its occurrences, any other one in all but its first
+    late = cut(late_lines(docs, first, edits, least), "late").withColumn("late", F.lit(True))
+    verdict = first.join(late, "line", "left").where("n > 1 or late").select("line", "first", F.coalesce("late", F.lit(False)).alias("late"))
     gone = lines.join(verdict, "line").where(F.col("late") | (F.col("first") < at))
     return gone.groupBy("doc_id").agg(F.collect_list("number").alias("gone"))
 
