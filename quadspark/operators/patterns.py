@@ -135,7 +135,8 @@ class Compiler:
                     chosen[term] = name
             else:
                 rows = rows.where(F.col(name) == term)
-        out = Solutions(rows.select(*(F.col(c).alias(column(v)) for v, c in chosen.items())), dict.fromkeys(chosen, True))
+        columns = [F.col(c).alias(column(v)) for v, c in chosen.items()] or [F.lit(1).alias("u__")]  # a ground pattern only says how often it matches
+        out = Solutions(rows.select(*columns), dict.fromkeys(chosen, True))
         for var, q in quoted:
             parts = self._match(self.store.quoted(), [("term", var), ("qs", q.s), ("qp", q.p), ("qo", q.o)])
             out = self.join(out, parts)

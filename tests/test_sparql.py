@@ -140,6 +140,10 @@ def test_query_forms(g):
     assert g.select("SELECT ?x WHERE { ?x")["reason"] == "sparql_parse_error"
     assert g.select(p + "SELECT (NOPE(?x) AS ?y) WHERE { ?x e:age ?z }")["reason"] == "sparql_eval_error"
     assert g.ask(p + "ASK { e:a e:age ?z FILTER(?z > 100) }")["value"] is False
+    assert g.ask(p + "ASK { e:a e:knows e:b ; e:age 30 . e:b e:age 20 }")["value"] is True
+    assert g.ask(p + "ASK { e:a e:knows e:b ; e:age 31 }")["value"] is False
+    assert len(g.select(p + "SELECT ?x WHERE { e:a e:knows e:b . ?x e:age ?z FILTER EXISTS { e:b e:age 20 } }")["results"]) == 2
+    assert g.select(p + "SELECT ?x WHERE { ?x e:age ?z FILTER NOT EXISTS { e:b e:age 20 } }")["results"] == []
     assert values(g.select(p + "SELECT ?x (1/0 AS ?e) WHERE { ?x e:age 30 }"), "x", "e") == [("urn:a", None)]
     assert g.select(p + "SELECT ?x WHERE { SERVICE <urn:s> { ?x ?y ?z } }")["ok"] is False
 
