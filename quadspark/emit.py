@@ -8,6 +8,8 @@ its slot; a false guard leaves the slot as it is.
 
 from __future__ import annotations
 
+import functools
+import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -16,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import reasons as R
+from .config import ENV_STRICT
 from .functions import terms as T
 from .graph import Graph, guarded
 from .store import minus, pin
@@ -144,6 +147,24 @@ def _same_slot(a: str = "a", b: str = "b") -> Column:
 DISPATCH_MODES = ("sparql_update", "bulk", "per_call")
 
 
+class Refused(RuntimeError):
+    """A refused write in strict mode."""
+
+
+def strict(f):
+    """In strict mode (environment variable of config.ENV_STRICT), a refusal is raised."""
+
+    @functools.wraps(f)
+    def call(*args, **kwargs):
+        env = f(*args, **kwargs)
+        if not env["ok"] and os.environ.get(ENV_STRICT, "").lower() in ("1", "true", "yes"):
+            raise Refused(f"{env['reason']}: {env['because']}")
+        return env
+
+    return call
+
+
+@strict
 @guarded
 def save(graph: Graph, df: DataFrame, mapping: Mapping, mode: str = "bulk") -> dict:
     """Replaces every touched slot's values; annotations of replaced triples go with them."""
@@ -167,6 +188,7 @@ def _annotations(all_quads: DataFrame, triples: DataFrame) -> DataFrame:
     return all_quads.join(quoted, F.col("s") == F.col("term"), "left_semi")
 
 
+@strict
 @guarded
 def destroy(graph: Graph, df: DataFrame, mapping: Mapping) -> dict:
     """Retracts all declared slots of the rows, guards or not, and annotations of what goes."""

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadspark import capabilities, emit, ir, schema
-from quadspark.config import ENV_QUERY_BACKEND
+from quadspark.config import ENV_QUERY_BACKEND, ENV_STRICT
 from quadspark.ethereal import EtherealGraph, reset
 from quadspark.functions import terms as T
 from quadspark.graph import Graph
@@ -120,6 +120,15 @@ def test_mapping_life_cycle(spark):
         emit.Mapping(None)
 
 
+def test_strict_mode(spark, monkeypatch):
+    df = spark.createDataFrame([(1,)], "id int")
+    m = emit.Mapping("urn:x", [emit.Triple("urn:p", lambda d: d.id)])
+    assert emit.save(Graph(spark), df, m, mode="nope")["reason"] == "invalid_dsl"
+    monkeypatch.setenv(ENV_STRICT, "1")
+    with pytest.raises(emit.Refused):
+        emit.save(Graph(spark), df, m, mode="nope")
+
+
 def test_schema(spark):
     capabilities.reset_schema_normalization()
     s = schema.Schema()
@@ -183,3 +192,18 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("s string, p string, o string, g string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     ingest(stream, g, f"{tmp_path}/state", after=lambda graph, batch: seen.append(batch.count())).awaitTermination()
     assert g.store_size()["count"] == 10 and sum(seen) == 10
+
+
+def test_snapshots(spark, tmp_path):
+    from quadspark import snapshots as S
+
+    g, base = Graph(spark), str(tmp_path)
+    g.bulk_insert([("urn:a", "urn:p", 1), ("urn:a", "urn:p", 2, "urn:g")])
+    one = S.snapshot(g, base, "one")["id"]
+    g.bulk_insert([("urn:a", "urn:p", 3)])
+    g.bulk_delete([("urn:a", "urn:p", 1)])
+    two = S.snapshot(g, base, "two")["id"]
+    assert [x["label"] for x in S.snapshots(g, base)["snapshots"]] == ["one", "two"]
+    assert S.diff(g, base, one, two) == {"ok": True, "added": 1, "removed": 1}
+    assert S.restore(g, base, one) == {"ok": True, "quads": 2}
+    assert g.store_size(graph="urn:g")["count"] == 1 and S.restore(g, base, "nope")["ok"] is False
