@@ -98,3 +98,34 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**dict.fromkeys(range(1, 31), 1), 90: 90, 95: 90, 100: 90}
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+@pytest.mark.parametrize("block", [2048, 8])
+def test_jaccard_dense_group(spark, monkeypatch, block):
+    """Copies with many different edits, of which only some are similar enough, whole and block by block."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", block)
+    monkeypatch.setattr(jaccard_join, "MOST_PIVOTS", 1)
+    r = random.Random(5)
+    base = prose(31, 120).split()
+    docs = []
+    for i in range(40):
+        words = list(base)
+        for _ in range(r.randint(1, 4)):
+            words[r.randrange(len(words))] = f"edit{r.randint(0, 9)}"
+        docs.append((i, " ".join(words)))
+    want = jaccard_classes(docs, 4, 85)
+    assert 1 < len({c for _, c in want.values()}) < 40
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.similarity_components(frame(spark, docs), 4, 85).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_line_groups_in_blocks(spark, monkeypatch, block):
+    """Many variants of one line, whole and block by block."""
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", block)
+    base = prose(41, 8)
+    lines = [base[: 3 * i] + "#" * (i % 4) + base[3 * i :] for i in range(14)]
+    docs = [(i, x) for i, x in enumerate(lines)]
+    want = {i: int(any(x == y or edit_distance(x, y) <= 2 for y in lines[:i])) for i, x in docs}
+    got = {x.doc_id: x.n_removed for x in line_dedup.report(frame(spark, docs)).collect()}
+    assert got == want
