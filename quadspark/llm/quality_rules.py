@@ -6,9 +6,10 @@ small groups are replaced by their language's, merged from the same sketches, an
 merge of all. The thresholds that follow from a group's quantiles are joined to
 its documents, which must lie within them.
 
-A ratio may exceed its group's 90th percentile by `spread` times the
-distance between the 90th percentile and the median, and never has to be below `floor`,
-so a document like the rest of its group is kept whatever the group looks like.
+A ratio may exceed its group's third quartile, or mean_word fall below the first, by `spread` times the
+distance between the quartiles. No fixed cutoff overrides that, so a document like the rest of its group is
+kept whatever the group looks like, and up to a quarter of bad documents do not loosen a rule. Where the quartiles
+(nearly) coincide, LEAST_SPREAD stands for their distance, so that one symbol does not condemn a document.
 
 Defined results: null text -> no words, base_failed, not kept. Null language or
 source is a group of its own. Repeated rows count as often as they occur.
@@ -25,10 +26,10 @@ from .shared import cut, small
 #: Groups with fewer sketched documents than this use the sketch of the next larger group.
 LEAST_GROUP = 100
 SKETCH_K = 400
-#: ratio: the least upper threshold
-UPPER = {"symbol_ratio": 0.1, "dup_line_ratio": 0.3, "repeat_ratio": 0.3, "mean_word": 10.0}
-#: ratio: the highest lower threshold
-LOWER = {"mean_word": 3.0}
+#: ratio: the least distance of the quartiles, for groups whose documents are (nearly) equal
+LEAST_SPREAD = {"symbol_ratio": 0.01, "dup_line_ratio": 0.05, "repeat_ratio": 0.05, "mean_word": 0.1}
+#: ratios with a lower threshold
+LOWER = ("mean_word",)
 
 
 def let(value: Column, body) -> Column:
@@ -72,21 +73,22 @@ def thresholds(measured: DataFrame, spread: float = 4.0) -> DataFrame:
     good = measured.where("not base_failed")
     key = [F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")).alias(c) for c in ("lang", "source")]
     # each task sketches the documents it holds; only sketches are shuffled
-    sketch = good.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in UPPER))
+    sketch = good.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in LEAST_SPREAD))
     sketch = cut(sketch, "sketches")
-    merged = [F.kll_merge_agg_double(r).alias(f"{r}_") for r in UPPER]
+    merged = [F.kll_merge_agg_double(r).alias(f"{r}_") for r in LEAST_SPREAD]
     lang = sketch.groupBy("lang").agg(F.sum("n").alias("n_"), *merged)
     every = sketch.groupBy().agg(F.sum("n").alias("n_all"), *merged)
-    every = every.select("n_all", *(F.col(f"{r}_").alias(f"{r}_all") for r in UPPER))
+    every = every.select("n_all", *(F.col(f"{r}_").alias(f"{r}_all") for r in LEAST_SPREAD))
     groups = measured.select(*key).distinct()
     own = groups.join(sketch, ["lang", "source"], "left").join(lang, "lang", "left").join(F.broadcast(every))  # one row
     columns = []
-    for r, floor in UPPER.items():
+    for r, least in LEAST_SPREAD.items():
         s = F.when(F.col("n") >= LEAST_GROUP, F.col(r)).when(F.col("n_") >= LEAST_GROUP, F.col(f"{r}_")).when(F.col("n_all") > 0, F.col(f"{r}_all"))  # none: nothing is known, nothing is dropped
         q = lambda p: F.kll_sketch_get_quantile_double(s, F.lit(p))  # noqa: B023,E731
-        columns.append(F.greatest(F.lit(floor), q(0.9) + spread * (q(0.9) - q(0.5))).alias(f"{r}_max"))
+        width = spread * F.greatest(q(0.75) - q(0.25), F.lit(least))
+        columns.append((q(0.75) + width).alias(f"{r}_max"))
         if r in LOWER:
-            columns.append(F.least(F.lit(LOWER[r]), q(0.1) - spread * (q(0.5) - q(0.1))).alias(f"{r}_min"))
+            columns.append((q(0.25) - width).alias(f"{r}_min"))
     return own.select("lang", "source", *columns)
 
 
@@ -100,7 +102,7 @@ def judge(docs: DataFrame, spread: float = 4.0) -> DataFrame:
     t = small(limits.withColumnsRenamed({"lang": "k_lang", "source": "k_source"}), 200)
     joined = d.join(t, ["k_lang", "k_source"], "left")
     within = F.lit(True)
-    for r in UPPER:
+    for r in LEAST_SPREAD:
         within &= F.coalesce(F.col(r) <= F.col(f"{r}_max"), F.lit(True))
         if r in LOWER:
             within &= F.coalesce(F.col(r) >= F.col(f"{r}_min"), F.lit(True))

@@ -184,3 +184,14 @@ wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKE1 https://example.org é token=token:abcd
     assert not any("KE1" in t or t == "https://example.org" for _, t in found)
     assert (got[2].spans, got[2].base_sha256, got[4].spans) == ("", hashlib.sha256(b"").hexdigest(), "")
     assert [x.split(":")[0] for x in got[5].spans.split(",")] == ["user", "assign"]
+
+
+def test_quality_limits_come_from_the_quantiles(spark):
+    """A narrow group gets limits tighter than any usual cutoff, and one bad document in six does not switch a rule off."""
+    plain = [(i, prose(i, 80), "en", "a") for i in range(150)]
+    odd = [(500, prose(9, 80) + " #" * 40, "en", "a"), (501, " ".join(w + "xx" for w in prose(9, 80).split()), "en", "a"), (502, " ".join(w[:4] for w in prose(9, 80).split()), "en", "a")]
+    bad = [(1000 + i, prose(i, 80) + (" " + "#" * 400 if i % 6 == 0 else ""), "en", "b") for i in range(150)]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(plain + odd + bad, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[500].n_symbols < 0.1 * got[500].word_chars and 3 < got[502].word_chars / got[502].n_words and got[501].word_chars / got[501].n_words < 10
+    assert not any(r.base_failed for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == {500, 501, 502} | {1000 + i for i in range(0, 150, 6)}
