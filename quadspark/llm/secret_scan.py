@@ -2,14 +2,13 @@
 
 Base patterns give assigned secrets, access identifiers and long hex strings.
 Weak parts (user names, 40-character keys, endpoints) say little alone; they are
-reported only when complementary parts lie in the same scope and within
-`reach` code points: each weak part's interval, widened by the reach and cut to its
-scope (a block between blank lines), is joined with the intervals of the
+reported only when complementary parts lie in the same scope (a block between
+blank lines), however far apart: each weak part's scope is joined with the intervals of the
 other roles by their ordered starts and running largest ends, so the work is
 n log n in the parts of a text and no pairs are made.
 
 Roles: identifier (access, user), secret (assign, hex, key), place (endpoint). A weak part is
-reported if its interval meets a base span of another role, or weak parts of both other roles. A weak part
+reported if its scope holds a base span of another role, or weak parts of both other roles. A weak part
 that overlaps a base span is already reported and goes.
 
 Defined results: null text is empty: no spans, base_sha256 of the empty string, spans ''.
@@ -42,12 +41,10 @@ KINDS = ("assign", "access", "hex", "user", "key", "endpoint")
 ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "user": "identifier", "key": "secret", "endpoint": "place"}
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _USER_WORDS = ("user", "login", "account", "client")
-REACH = 300
 
 
 class Scanner:
-    def __init__(self, reach: int = REACH):
-        self.reach = reach
+    def __init__(self):
         self.assign = re.compile(ASSIGN, re.I | re.A)
         self.access = re.compile(ACCESS)
         # a maximal run shorter than the least length would be dropped, so only long runs are looked for
@@ -83,8 +80,8 @@ class Scanner:
         out = []
         for s, k, e in found:
             at = bisect.bisect_right(edges, s)
-            lo = max(s - self.reach, edges[at - 1] if at else 0)
-            hi = min(e + self.reach, edges[at] if at < len(edges) else len(text))
+            lo = edges[at - 1] if at else 0
+            hi = edges[at] if at < len(edges) else len(text)
             others = [r for r in strong if r != ROLE[KINDS[k]]]
             if any(strong[r].meets(lo, hi) for r in others) or all(weak[r].meets(lo, hi) for r in others):
                 out.append((s, k, e))
@@ -115,27 +112,24 @@ def told(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def _scan(reach: int):
-    def run(batches):
-        scanner = Scanner(reach)
-        for batch in batches:
-            rows = []
-            for value in batch.column("text"):
-                base, spans = scanner.scan(value.as_py() or "")
-                n = [0, 0, 0]
-                for _, k, _ in base:
-                    n[k] += 1
-                rows.append((*n, hashlib.sha256(told(base).encode()).hexdigest(), told(spans)))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+def _scan(batches):
+    scanner = Scanner()
+    for batch in batches:
+        rows = []
+        for value in batch.column("text"):
+            base, spans = scanner.scan(value.as_py() or "")
+            n = [0, 0, 0]
+            for _, k, _ in base:
+                n[k] += 1
+            rows.append((*n, hashlib.sha256(told(base).encode()).hexdigest(), told(spans)))
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return run
 
-
-def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
+def scan(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_assign, n_access, n_hex, base_sha256, spans)."""
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(_scan(reach), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return docs.mapInArrow(_scan, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
