@@ -9,7 +9,8 @@ batch is a product of its presence matrix with the landmarks' and one
 with the folded weights.
 
 The model is fitted on the driver from a sample of at most about `per_label`
-texts of each language (a documented bound), chosen by a hash of doc_id; scoring
+texts of each language (a documented bound), chosen by a hash of doc_id. There is no
+other bound: sampled texts are whole, however long and in however many languages. Scoring
 covers every whole text of every row.
 
 Defined results: null text or a text without a letter -> `und`, score 0. With
@@ -30,7 +31,6 @@ from .shared import bounded_batches
 PER_LABEL = 300
 LANDMARKS = 192
 RIDGE = 1e-3
-MAX_SAMPLE_BYTES = 64 << 20
 _SLOTS = 1 << 18
 
 
@@ -47,6 +47,14 @@ def _grams(data: np.ndarray, offsets: np.ndarray):
         yield slot[ok], row[: len(code)][ok]
 
 
+def _parts(data: np.ndarray, offsets: np.ndarray, rows: int = 256):
+    """(data, offsets) of at most `rows` rows and about K.CHUNK_BYTES at a time, so that long texts need no more memory at once."""
+    for i, j in K.chunks(offsets):
+        for a in range(i, j, rows):
+            ends = offsets[a : min(j, a + rows) + 1]
+            yield data[ends[0] : ends[-1]], ends - ends[0]
+
+
 class Model:
     """Fitted on (text, label) pairs; plain arrays only, so that it can be broadcast."""
 
@@ -57,14 +65,14 @@ class Model:
         by_label = sorted(range(n), key=lambda i: labels[i])
         marks = [by_label[i] for i in spread]
         data, offsets = K.buffers(pa.array([texts[i] for i in marks], pa.large_string()))
-        slots = [np.unique(s) for s, _ in _grams(data, offsets)]
-        known = np.concatenate(slots) if slots else np.empty(0, np.int64)
-        known = np.unique(known)
+        known = np.empty(0, np.int64)
+        for part, ends in _parts(data, offsets):
+            known = np.unique(np.concatenate([known, *(np.unique(s) for s, _ in _grams(part, ends))]))
         self.width = len(known)
         self.column = np.full(_SLOTS, self.width, np.int32)
         self.column[known] = np.arange(self.width)
         self.weights = np.zeros((0, max(1, len(self.labels))), np.float32)
-        x = self._features(data, offsets)
+        x = np.concatenate([np.zeros((0, self.width), np.float32), *(self._features(*part) for part in _parts(data, offsets))])
         self.marks = x / np.sqrt(np.maximum(1, x.sum(1)))[:, None]
         if not n:
             return
@@ -74,9 +82,8 @@ class Model:
         whiten = vector[:, keep] / np.sqrt(value[keep])
         rows = []
         data, offsets = K.buffers(pa.array(texts, pa.large_string()))
-        for i in range(0, n, 256):
-            part = offsets[i : min(n, i + 256) + 1]
-            rows.append(self._kernel(self._features(data[part[0] : part[-1]], part - part[0])))
+        for part in _parts(data, offsets):
+            rows.append(self._kernel(self._features(*part)))
         phi = np.concatenate(rows).astype(np.float64) @ whiten
         phi = np.hstack([phi, np.ones((n, 1))])
         target = np.array([[1.0 if y == k else 0.0 for k in self.labels] for y in labels])
@@ -142,13 +149,7 @@ def sample(labelled: DataFrame, per_label: int = PER_LABEL) -> list[tuple[str, s
     for lang, c in sorted(n.items()):
         limit = F.when(F.col("lang") == lang, F.lit(int(min(1.0, per_label / c) * (1 << 30)))).otherwise(limit)
     taken = rows.where(F.col("key") < limit).select("key", "doc_id", "text", "lang")
-    out, size = [], 0
-    for r in sorted(taken.toLocalIterator(), key=lambda r: (r["key"], str(r["doc_id"]))):
-        size += len(r["text"])
-        if size > MAX_SAMPLE_BYTES:
-            break
-        out.append((r["text"], r["lang"]))
-    return out
+    return [(r["text"], r["lang"]) for r in sorted(taken.toLocalIterator(), key=lambda r: (r["key"], str(r["doc_id"])))]
 
 
 def fit(labelled: DataFrame, per_label: int = PER_LABEL, landmarks: int = LANDMARKS):
