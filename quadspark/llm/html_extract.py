@@ -4,11 +4,13 @@ A page becomes a stream of blocks (texts between block-level tags), each with wh
 the markup says: main (inside article or main), dropped (navigation, headers, footers,
 sidebars, notices, adverts, forms, comments, hidden parts) or open.
 
-Main blocks are kept and dropped ones go: the markup is decisive where it speaks, since a passage that two
-articles share is still article text. Open blocks are judged by their host: token
-streams of the host's pages are concatenated, their suffix array is sorted, and
-neighbouring suffixes of different pages with a long common prefix mark boilerplate; open blocks covered
-by it go, unique runs stay. Only open blocks enter the arrays.
+Dropped blocks go. All others are judged by their host: token streams of the host's pages, main
+blocks included, are concatenated, their suffix array is sorted, and neighbouring suffixes with a long
+common prefix mark repeats. The markup is evidence beside it: in an open block, what another page
+has too is boilerplate, and unique runs stay, also around a main part. A main block goes only
+whole, and only if `support` different pages of the host have it, since a passage that two articles share is
+still article text; copies of a page (equal in all their blocks) count as one. A page that would lose all
+its main blocks that way keeps them.
 
 A host with many pages is dealt to tasks by the hash of each block's rarest
 (least-hashed) window, not by host alone: a repeated substring of at least `window`
@@ -16,13 +18,13 @@ tokens has the same minimiser wherever it occurs, so both its occurrences meet i
 one task, and no task has to hold a whole host.
 
 Defined results: null html is empty, its text is ''. Text outside any tag is open. Unclosed
-tags end with their parent; stray end tags are ignored. A page with
-no main block keeps its unique open ones. Repeated rows with one page_id are one page.
+tags end with their parent; stray end tags are ignored. Repeated rows with one page_id are one page.
 Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
@@ -59,6 +61,8 @@ _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("
 _SPACES = re.compile(r"[\s]+")
 OPEN, MAIN, DROPPED = 0, 1, 2
 WINDOW = 8
+#: Different pages of a host that make a main block boilerplate.
+SUPPORT = 3
 
 
 def _place(tag: str, attributes: str, parent: int) -> int:
@@ -171,18 +175,20 @@ def _blocks(batches):
         yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(main, pa.list_(pa.string())), pa.array(place, pa.list_(pa.int32()))], names=["page_id", "url", "blocks", "places"])
 
 
-_WINDOWS = pa.schema([("host", pa.string()), ("part", pa.int32()), ("page_id", pa.int64()), ("block", pa.int32()), ("start", pa.int32()), ("tokens", pa.binary())])
+_WINDOWS = pa.schema([("host", pa.string()), ("part", pa.int32()), ("page_id", pa.int64()), ("block", pa.int32()), ("start", pa.int32()), ("main", pa.bool_()), ("content", pa.int64()), ("tokens", pa.binary())])
 
 
-def _open_runs(bits: int, window: int):
-    """Open blocks cut at the changes of their windows' minimisers, with the tokens that the windows cover."""
+def _runs(bits: int, window: int):
+    """Main and open blocks cut at the changes of their windows' minimisers, with the tokens that the windows cover."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for page, url, texts, places in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "blocks", "places")), strict=True):
+                told = "\n".join(t for t, p in zip(texts, places, strict=True) if p != DROPPED)
+                content = int.from_bytes(hashlib.sha256(told.encode()).digest()[:8], "little", signed=True)
                 for b, (text, place) in enumerate(zip(texts, places, strict=True)):
-                    if place != OPEN:
+                    if place == DROPPED:
                         continue
                     data, offsets = K.buffers(pa.array([text]))
                     h = K.Words(data, offsets, K.SPACE_SEPARATED).hashes()
@@ -191,8 +197,8 @@ def _open_runs(bits: int, window: int):
                     low = K.sliding_min(K.windows(h, m, salt=size), size - m + 1)
                     cuts = np.flatnonzero(np.diff(low, prepend=low[0] + np.uint64(1)))
                     for a, e in zip(cuts.tolist(), np.append(cuts[1:], len(low)).tolist(), strict=True):
-                        rows.append((host_of(url), int(low[a] & np.uint64((1 << bits) - 1)), page, b, a, h[a : e + size - 1].tobytes()))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
+                        rows.append((host_of(url), int(low[a] & np.uint64((1 << bits) - 1)), page, b, a, place == MAIN, content, h[a : e + size - 1].tobytes()))
+            columns = list(zip(*rows, strict=True)) or [()] * len(_WINDOWS)
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _WINDOWS, strict=True)], schema=_WINDOWS)
 
     return run
@@ -201,13 +207,13 @@ def _open_runs(bits: int, window: int):
 _SPANS = pa.schema([("page_id", pa.int64()), ("block", pa.int32()), ("start", pa.int32()), ("length", pa.int32())])
 
 
-def _repeated(window: int):
-    """Spans of a bucket of a host that also occur on another page, by the suffix array of its token streams."""
+def _repeated(window: int, support: int):
+    """Spans of a bucket of a host that other pages have too (of a main block: `support` different pages), by the suffix array of its token streams."""
 
     def run(table: pa.Table) -> pa.Table:
         raw = [np.frombuffer(t.as_buffer(), np.uint64) for t in table.column("tokens")]
         length = np.array([len(r) for r in raw])
-        page, block, start = (table.column(c).to_numpy() for c in ("page_id", "block", "start"))
+        page, block, start, main, content = (table.column(c).to_numpy() for c in ("page_id", "block", "start", "main", "content"))
         _, symbol = np.unique(np.concatenate(raw), return_inverse=True)
         at = np.cumsum(length + 1) - length - 1
         seq = np.zeros(int((length + 1).sum()), np.int64)
@@ -231,7 +237,11 @@ def _repeated(window: int):
             return _SPANS.empty_table()
         size = np.diff(np.append(head, len(k)))
         many = np.repeat(np.maximum.reduceat(p, head) != np.minimum.reduceat(p, head), size)
-        hit = order[many]
+        group, c = np.repeat(np.arange(len(head)), size), content[stream[order]]
+        by = np.lexsort((c, group))
+        new = (np.diff(group[by], prepend=-1) != 0) | (np.diff(c[by], prepend=c[by[0]]) != 0)
+        enough = np.bincount(group[by][new], minlength=len(head))[group] >= support
+        hit = order[np.where(main[stream[order]], enough, many)]
         s = stream[hit]
         return pa.table([pa.array(page[s]), pa.array(block[s]), pa.array((start[s] + hit - at[s]).astype(np.int32)), pa.array(need[hit].astype(np.int32))], schema=_SPANS)
 
@@ -246,34 +256,36 @@ def _joined(share: float):
                 by_block: dict[int, list] = {}
                 for s in spans or ():
                     by_block.setdefault(s["block"], []).append((s["start"], s["length"]))
-                kept = []
+                kept, main = [], []
                 for b, (text, place) in enumerate(zip(found, places, strict=True)):
+                    if place == DROPPED:
+                        continue
+                    words = text.encode().split()
+                    spans_of = np.array(by_block.get(b, ()), np.int64).reshape(-1, 2)
+                    gone = K.covered(spans_of[:, 0], spans_of[:, 1], len(words))
+                    stays = gone.mean() < share
                     if place == MAIN:
-                        kept.append(text)
-                    elif place == OPEN:
-                        words = text.encode().split()
-                        spans_of = np.array(by_block.get(b, ()), np.int64).reshape(-1, 2)
-                        gone = K.covered(spans_of[:, 0], spans_of[:, 1], len(words))
-                        if gone.mean() < share:
-                            kept.append(text if not gone.any() else b" ".join(w for w, g in zip(words, gone, strict=True) if not g).decode())
-                if MAIN in places:  # with a main part, what is open around it is furniture
-                    kept = [t for t, p in zip(found, places, strict=True) if p == MAIN]
-                texts.append("\n\n".join(kept))
+                        main.append(stays)
+                        kept.append((stays, MAIN, text))
+                    elif stays:
+                        kept.append((True, OPEN, text if not gone.any() else b" ".join(w for w, g in zip(words, gone, strict=True) if not g).decode()))
+                # where every main block repeats, the page is a variant of others rather than furniture
+                texts.append("\n\n".join(t for stays, place, t in kept if stays or place == MAIN and not any(main)))
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return run
 
 
-def extract(pages: DataFrame, window: int = WINDOW, share: float = 0.8) -> DataFrame:
+def extract(pages: DataFrame, window: int = WINDOW, share: float = 0.8, support: int = SUPPORT) -> DataFrame:
     """pages(page_id, url, html) -> (page_id, url, text, n_chars)."""
     bounded_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     bits = bits_for(parts_of(pages, 16))
     parsed = cut(pages.mapInArrow(_blocks, "page_id long, url string, blocks array<string>, places array<int>"), "blocks")
-    is_open = F.array_contains("places", OPEN) & ~F.array_contains("places", MAIN)
-    runs = parsed.where(is_open & F.col("page_id").isNotNull()).mapInArrow(_open_runs(bits, window), "host string, part int, page_id long, block int, start int, tokens binary")
-    spans = runs.groupBy("host", "part").applyInArrow(_repeated(window), "page_id long, block int, start int, length int")
+    judgeable = F.exists("places", lambda p: p != DROPPED) & F.col("page_id").isNotNull()
+    runs = parsed.where(judgeable).mapInArrow(_runs(bits, window), "host string, part int, page_id long, block int, start int, main boolean, content long, tokens binary")
+    spans = runs.groupBy("host", "part").applyInArrow(_repeated(window, support), "page_id long, block int, start int, length int")
     spans = spans.groupBy("page_id").agg(F.collect_list(F.struct("block", "start", "length")).alias("spans"))
-    settled = parsed.where(~is_open | F.col("page_id").isNull()).select("*", F.lit(None).cast("array<struct<block:int,start:int,length:int>>").alias("spans"))
-    judged = parsed.where(is_open & F.col("page_id").isNotNull()).join(spans, "page_id", "left").select("page_id", "url", "blocks", "places", "spans")
+    settled = parsed.where(~judgeable).select("*", F.lit(None).cast("array<struct<block:int,start:int,length:int>>").alias("spans"))
+    judged = parsed.where(judgeable).join(spans, "page_id", "left").select("page_id", "url", "blocks", "places", "spans")
     return settled.union(judged).mapInArrow(_joined(share), "page_id long, url string, text string, n_chars long")

@@ -61,3 +61,17 @@ def test_main_text(spark):
     assert {i: r.text for i, r in got.items()} == want
     assert all(r.n_chars == len(r.text) for r in got.values())
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_main_parts_are_judged_by_their_host(spark):
+    """A line that many articles of a host carry goes, a passage of two stays, and a body beside a teaser stays."""
+    line, shared = "<p>Tell your friends about this page and our weekly letter today</p>", "<p>a passage that exactly two of the articles have in common here</p>"
+    body = lambda i: " ".join(f"word{i}x{k}" for k in range(12))
+    pages = [(i, f"http://h.x/{i}", f"<article><p>{body(i)}</p>{shared if i < 2 else ''}{line}</article>") for i in range(4)]
+    pages += [(10, "http://h.x/10", f"<article><p>{body(10)}</p></article><div>{body(11)}</div>")]
+    pages += [(20 + i, "http://copies.x/", f"<article><p>{body(20)}</p></article>") for i in range(4)]
+    pages += [(30 + i, f"http://variants.x/{i}", f"<article><p>{body(30)}</p></article><div>{body(31 + i)}</div>") for i in range(4)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    want = {i: body(i) + ("\n\na passage that exactly two of the articles have in common here" if i < 2 else "") for i in range(4)}
+    want |= {10: body(10) + "\n\n" + body(11)} | {20 + i: body(20) for i in range(4)} | {30 + i: body(30) + "\n\n" + body(31 + i) for i in range(4)}
+    assert got == want
