@@ -3,7 +3,7 @@
 An archive is two tables in the shared folder: `payloads` keeps each payload's
 bytes once under its SHA-256, `headers` keeps every record's exact header block
 with the digest of its payload. Records are rebuilt by joining the two; the stored
-bytes are hashed again when they are read, so a payload that does not match its digest fails.
+bytes are hashed again when they are read, so a payload that is missing or does not match its digest fails.
 
 Of records with equal payloads of at least `REVISIT_BYTES`, the one with the
 largest page_id is a response, the others are revisits of it.
@@ -69,25 +69,37 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     headers = spark.read.schema("sha256 string, header string").parquet(f"{path}/headers")
     stored = spark.read.schema("sha256 string, payload binary").parquet(f"{path}/payloads")
     sound = F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload does not match digest "), F.col("sha256"))))
-    return headers.join(stored.select("sha256", sound.cast("binary").alias("payload")), "sha256").select("header", "payload")
+    joined = headers.join(stored.select("sha256", sound.cast("binary").alias("payload")), "sha256", "left")
+    there = F.when(F.col("payload").isNotNull(), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("no payload of digest "), F.col("sha256"))))
+    return joined.select("header", there.cast("binary").alias("payload"))
 
 
 def records(archive: DataFrame) -> DataFrame:
-    """read()'s rows as the bytes of WARC records (`record`); a revisit has an empty block."""
+    """read()'s rows as the bytes of WARC records (`record`), beside the payload; a revisit has an empty block."""
     block = F.when(F.col("header").contains("WARC-Type: revisit"), F.lit(b"")).otherwise(F.col("payload"))
-    return archive.select(F.concat(F.encode(F.concat("header", F.lit(CRLF + CRLF)), "UTF-8"), block, F.lit((CRLF + CRLF).encode())).alias("record"))
+    return archive.select(F.concat(F.encode(F.concat("header", F.lit(CRLF + CRLF)), "UTF-8"), block, F.lit((CRLF + CRLF).encode())).alias("record"), "payload")
 
 
-def parsed(archive: DataFrame) -> DataFrame:
-    """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to), each read from headers and payloads."""
+def parsed(built: DataFrame) -> DataFrame:
+    """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to), each read from the bytes of records(); a revisit's payload is the archive's, and must have the digest that its record names."""
+    # one character a byte, so that places in the string are places in the record
+    split = built.select("record", "payload", F.locate(CRLF + CRLF, F.decode("record", "ISO-8859-1")).alias("at"))
+    split = split.select("record", "payload", "at", F.decode(F.substring("record", F.lit(1), F.col("at") - 1), "UTF-8").alias("header"))
     field = lambda k: F.regexp_extract("header", rf"(?m)^{k}: ([^\r]*)", 1)
     page = lambda k: F.regexp_extract("header", rf"(?m)^{k}: <urn:page:(-?\d+)>", 1)
-    return archive.select(
+    length = field("Content-Length").cast("int")
+    whole = F.octet_length("record") == F.col("at") + 3 + length + 4
+    block = F.when(whole, F.substring("record", F.col("at") + 4, length)).otherwise(F.raise_error(F.lit("record does not have the length it names")))
+    split = split.select("header", "payload", block.cast("binary").alias("block"))
+    payload = F.when(field("WARC-Type") == "revisit", F.col("payload")).otherwise(F.col("block")).alias("payload")
+    split = split.select("header", payload).select("header", "payload", F.sha1("payload").alias("sha1"))
+    digest = F.when(field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("sha1")), F.col("sha1")).otherwise(F.raise_error(F.lit("payload does not match the digest of its record")))
+    return split.select(
         page("WARC-Record-ID").try_cast("long").alias("page_id"),
         field("WARC-Target-URI").alias("url"),
         "payload",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha1("payload").alias("payload_digest"),
+        digest.cast("string").alias("payload_digest"),
         field("WARC-Type").alias("record_type"),
         F.when(page("WARC-Refers-To") != "", page("WARC-Refers-To").try_cast("long")).alias("refers_to"),
     )
@@ -100,4 +112,4 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/quadspark/warc-{uuid.uuid4().hex}"
     write(pages, path)
-    return parsed(read(spark, path))
+    return parsed(records(read(spark, path)))

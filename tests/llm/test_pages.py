@@ -2,6 +2,8 @@
 
 import hashlib
 
+import pytest
+
 from quadspark.llm import html_extract, warc_archive
 from quadspark.llm.shared import shared_dir
 
@@ -75,3 +77,15 @@ def test_main_parts_are_judged_by_their_host(spark):
     want = {i: body(i) + ("\n\na passage that exactly two of the articles have in common here" if i < 2 else "") for i in range(4)}
     want |= {10: body(10) + "\n\n" + body(11)} | {20 + i: body(20) for i in range(4)} | {30 + i: body(30) + "\n\n" + body(31 + i) for i in range(4)}
     assert got == want
+
+
+def test_warc_missing_payload_fails(spark):
+    """A header whose payload is gone does not vanish, and records are parsed from their bytes."""
+    path = shared_dir(spark) + "/warc-test-missing"
+    warc_archive.write(spark.createDataFrame([(1, "http://a/é", "ü\r\n\r\n" * 9), (2, "http://b", "z")], "page_id long, url string, html string"), path)
+    built = warc_archive.records(warc_archive.read(spark, path))
+    assert {(r.page_id, r.url, bytes(r.payload)) for r in warc_archive.parsed(built).collect()} == {(1, "http://a/é", ("ü\r\n\r\n" * 9).encode()), (2, "http://b", b"z")}
+    left = spark.read.parquet(path + "/payloads").where("octet_length(payload) > 1").collect()
+    spark.createDataFrame(left, "sha256 string, payload binary").write.mode("overwrite").parquet(path + "/payloads")
+    with pytest.raises(Exception, match="no payload of digest"):
+        warc_archive.read(spark, path).collect()
