@@ -39,7 +39,7 @@ from pyspark.sql.window import Window
 from . import kernel as K
 from .components import components
 from .packed import BLOB_SCHEMA, Packer, bits_for, bucketed, unpack
-from .shared import bounded_batches, cut, parts_of, small
+from .shared import bounded_batches, cut, parts_of, scratch, small, spread_join
 
 #: Share of a set, in percent, by which prefixes are longer than the shortest valid ones (l of the bound above).
 EXTRA = 15
@@ -229,8 +229,55 @@ def _overlaps(lists: list[np.ndarray], weights: list[np.ndarray] | None) -> np.n
     return out
 
 
+class _Merged:
+    """Which components a task has connected so far."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        at = x
+        while (up := self.parent.get(at, at)) != at:
+            at = up
+        while (up := self.parent.get(x, x)) != at:
+            self.parent[x], x = at, up
+        return at
+
+    def roots(self, comp: np.ndarray) -> np.ndarray:
+        found, place = np.unique(comp, return_inverse=True)
+        return np.array([self.root(x) for x in found.tolist()], np.int64)[place]
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether x and y were apart; they are one afterwards."""
+        x, y = self.root(x), self.root(y)
+        self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _forest(near: np.ndarray, comp: np.ndarray, merged: _Merged) -> list[tuple[int, int]]:
+    """Of the pairs in the matrix `near`, those that connect components which nothing before connects: at most components - 1."""
+    near = near | near.T
+    todo = np.ones(len(comp), bool)
+    out = []
+    for start in range(len(comp)):
+        if not todo[start]:
+            continue
+        front = np.flatnonzero(todo & (comp == comp[start])).tolist()
+        todo[front] = False
+        while front:
+            i = front.pop()
+            for j in np.flatnonzero(near[i] & todo).tolist():
+                if todo[j]:
+                    own = np.flatnonzero(todo & (comp == comp[j]))
+                    todo[own] = False
+                    front += own.tolist()
+                    if merged.join(int(comp[i]), int(comp[j])):
+                        out.append((i, j))
+    return out
+
+
 def _block_products(percent: int):
-    """Links between classes of different components that meet in a column, each pair in the first column it shares."""
+    """Links between classes of different components that meet in a column. Of a block's pairs only a spanning forest leaves the task, and what a task has connected is not multiplied again."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("shingle", "ascending"), ("block", "ascending")])
@@ -243,11 +290,11 @@ def _block_products(percent: int):
         new = np.ones(len(get["cls"]), bool)
         new[1:] = (get["shingle"][1:] != get["shingle"][:-1]) | (get["block"][1:] != get["block"][:-1])
         head = np.flatnonzero(new)
-        us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        merged, us, vs = _Merged(), [], []
         for a, b in zip(head.tolist(), np.append(head[1:], len(new)).tolist(), strict=True):
             at = np.arange(a, b)
             for again in (False, True):
-                n, comp, side = get["n"][at], get["comp"][at], get["side"][at]
+                n, comp, side = get["n"][at], merged.roots(get["comp"][at]), get["side"][at]
                 wanted = np.triu(comp[:, None] != comp[None, :], 1)
                 wanted &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
                 wanted &= (side[:, None] < 0) | (side[:, None] != side[None, :])
@@ -260,11 +307,12 @@ def _block_products(percent: int):
                     break
                 if again:
                     both = _overlaps([of("ids", i) for i in at], [of("weights", i) for i in at])
-                    i, j = np.nonzero(wanted & (100 * both >= percent * (n[:, None] + n[None, :] - both)))
+                    near = wanted & (100 * both >= percent * (n[:, None] + n[None, :] - both))
                     cls = get["cls"][at]
-                    us.append(np.minimum(cls[i], cls[j]))
-                    vs.append(np.maximum(cls[i], cls[j]))
-        return pa.table({"u": pa.array(np.concatenate(us)), "v": pa.array(np.concatenate(vs))})
+                    for i, j in _forest(near, comp, merged):
+                        us.append(min(int(cls[i]), int(cls[j])))
+                        vs.append(max(int(cls[i]), int(cls[j])))
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return run
 
@@ -285,10 +333,10 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_verified(percent), "u long, v long")
 
 
-def class_links(docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """Links between classes of different sets that connect every component; rows: (doc_id, n_shingles, digest) of docs."""
+def class_links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """Links between classes of different sets that connect every component; classes: (digest, rep, n) of docs."""
     bits = bits_for(parts_of(docs, 32, 2))
-    classes = rows.where("n_shingles > 0").groupBy(F.col("digest").alias("cls")).agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    classes = classes.select(F.col("digest").alias("cls"), "rep", "n")
     # the partner of a set of n has percent * n at least, and its l may be the smaller one
     least = F.greatest(F.lit(1), F.floor((F.ceil(F.col("n") * percent / 100) - 1) * EXTRA / 100))
     blobs = docs.select("text").mapInArrow(_incidence(k, percent, bits, False), BLOB_SCHEMA)
@@ -361,13 +409,14 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
     """docs(doc_id, text) -> (doc_id, n_shingles, component_id). Shingles are k words `[^ \\t-\\r]+`, A-Z lower-cased; link: 100 * |intersection| >= percent * |union|."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = cut(docs.mapInArrow(_document_rows(k), "doc_id long, n_shingles long, digest long"), "documents")
-    links = class_links(docs, rows, k, percent)
-    if links is None:
-        member = rows.withColumn("comp", F.col("digest"))
-    else:
-        label = components(links)
-        member = rows.join(label, rows.digest == label.node, "left").select("doc_id", "n_shingles", F.coalesce("label", "digest").alias("comp"))
-    least = member.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = member.where("n_shingles > 0").join(least, "comp").select("doc_id", "n_shingles", "component_id")
-    return named.union(member.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    rows = cut(docs.mapInArrow(_document_rows(k), "doc_id long, n_shingles long, digest long"), "documents", keep=True)
+    with scratch():
+        found = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
+        classes = cut(found, "classes")
+        links = class_links(docs, classes, k, percent)
+        label = classes.select(F.col("digest").alias("node"), F.col("digest").alias("label")).limit(0) if links is None else components(links)
+        member = cut(classes.join(label, classes.digest == label.node, "left").select("digest", "rep", "copies", F.coalesce("label", "digest").alias("comp")), "members")
+        least = cut(member.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("size")), "least")
+        named = cut(spread_join(member, least, "comp", "size").select("digest", "component_id", "copies"), "named", keep=True)
+    whole = spread_join(rows.where("n_shingles > 0"), named, "digest", "copies").select("doc_id", "n_shingles", "component_id")
+    return whole.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast below this many bytes, counted before; beyond it, it is shuffled.
 BROADCAST_BYTES = 16 << 20
+#: Keys are frequent beyond this many rows, and beyond such a share of all rows that there are at most HOT_KEYS of them.
+HOT_ROWS, HOT_KEYS = 1000, 100_000
+_scratch = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,10 +35,26 @@ def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def scratch():
+    """Tables that `cut` writes in here are deleted at the end, but for those it is told to keep; what is returned must not need them."""
+    outer, made = getattr(_scratch, "made", None), []
+    _scratch.made = made
+    try:
+        yield
+    finally:
+        _scratch.made = outer
+        for spark, path in made:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quadspark/{name}-{uuid.uuid4().hex}"
+    if getattr(_scratch, "made", None) is not None and not keep:
+        _scratch.made.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -43,6 +64,19 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def spread_join(rows: DataFrame, unique: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined with `unique`, a written table of one row a key whose column `count` says how many rows have it.
+
+    Frequent keys are at most HOT_KEYS by their definition; they are sent to the rows, so no task gets all rows of one. The others are shuffled."""
+    total = unique.agg(F.sum(count)).first()[0] or 0
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    hot = unique.where(F.col(count) > limit)
+    if not hot.limit(1).count():
+        return rows.join(unique, key)
+    seldom = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(unique.where(F.col(count) <= limit), key)
+    return rows.join(F.broadcast(hot), key).unionByName(seldom)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

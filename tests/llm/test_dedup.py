@@ -129,3 +129,28 @@ def test_line_groups_in_blocks(spark, monkeypatch, block):
     want = {i: int(any(x == y or edit_distance(x, y) <= 2 for y in lines[:i])) for i, x in docs}
     got = {x.doc_id: x.n_removed for x in line_dedup.report(frame(spark, docs)).collect()}
     assert got == want
+
+
+def test_jaccard_blocks_send_a_forest(spark):
+    """Of a dense block only a spanning forest of its pairs leaves the task."""
+    import pyarrow as pa
+
+    r = random.Random(8)
+    n = 300
+    lists = [sorted(r.sample(range(1000), 6)) + list(range(1000, 1060)) for _ in range(n)]
+    comp = [i - i % 3 for i in range(n)]
+    one = {"shingle": [1] * n, "block": [0] * n, "side": [-1] * n, "cls": list(range(n)), "n": [66] * n, "comp": comp, "before": [[]] * n, "ids": lists, "weights": [[1] * 66] * n}
+    # the same classes meet again in a second column: nothing is left to connect
+    table = pa.table({k: v + ([2] * n if k == "shingle" else v) for k, v in one.items()} | {"before": pa.array([[]] * (2 * n), pa.list_(pa.int64()))})
+    got = jaccard_join._block_products(80)(table)
+    assert 0 < got.num_rows <= len(set(comp)) - 1
+    parent = {c: c for c in comp}
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for u, v in zip(got["u"].to_pylist(), got["v"].to_pylist(), strict=True):
+        both = len(set(lists[u]) & set(lists[v]))
+        assert 100 * both >= 80 * (132 - both) and find(comp[u]) != find(comp[v])
+        parent[find(comp[u])] = find(comp[v])
+    assert len({find(c) for c in comp}) == 1
