@@ -37,9 +37,9 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as a content-addressed archive and read back."""
-    from .warc_archive import round_trip
+    from .warc_archive import archived, catalogued
 
-    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return catalogued(spark, archived(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,3 +89,21 @@ def test_warc_missing_payload_fails(spark):
     spark.createDataFrame(left, "sha256 string, payload binary").write.mode("overwrite").parquet(path + "/payloads")
     with pytest.raises(Exception, match="no payload of digest"):
         warc_archive.read(spark, path).collect()
+
+
+def test_warc_odd_headers(spark, monkeypatch):
+    """Headers are exact whatever a url holds; null and repeated ids; a payload that most pages share is dealt to several tasks."""
+    monkeypatch.setattr(warc_archive, "RECORDS_PER_TASK", 3)
+    big = "z" * 1200
+    urls = ["http://a/ WARC-Refers-To: <urn:page:77>", "http://a/\u0085WARC-Type: revisit", "WARC-Type: revisit", "a\r\nWARC-Refers-To: <urn:page:77>\n%0A", "%25", " "]
+    pages = [(i, u, f"<p>{i}</p>" * 200) for i, u in enumerate(urls)] + [(100 + i, "u", big) for i in range(20)] + [(None, "v", big), (None, "v", "x"), (200, "w", "same"), (200, "w", "same"), (201, "q", big + "1"), (201, "q", big + "1")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    path = warc_archive.archived(df)
+    rows = warc_archive.parsed(warc_archive.records(warc_archive.read(spark, path))).collect()
+    key = lambda x: tuple((v is not None, v) for v in x)
+    assert sorted(((r.page_id, r.url, bytes(r.payload).decode()) for r in rows), key=key) == sorted(pages, key=key)
+    brief = warc_archive.catalogued(spark, path).collect()
+    assert sorted((tuple(r) for r in brief), key=key) == sorted(((r.page_id, r.url, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows), key=key)
+    assert {r.refers_to for r in rows if r.page_id is not None and r.page_id < 100} == {None}
+    assert {(r.page_id, r.record_type) for r in rows if r.refers_to == 119} == {(100 + i, "revisit") for i in range(19)} | {(None, "revisit")}
+    assert spark.read.parquet(path + "/payloads").count() == len({h for _, _, h in pages})
