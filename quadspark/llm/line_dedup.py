@@ -1,6 +1,6 @@
 """Line dedup by a segment-partition edit join.
 
-A line with a word is removed if a line before it, in the order of (doc_id, line number),
+A line with a word is removed if a line before it, in the order of (doc_id, row, line number),
 is within `EDITS` code-point edits of it; lines of fewer than `LEAST` code points
 must be equal. Lines without a word stay where they are.
 
@@ -12,10 +12,12 @@ are packed by key; lines that meet in a key are a group. Groups travel with thei
 are verified by a banded bit-parallel edit distance over whole lines, many pairs at
 once. Only lines that are late leave a group, never pairs.
 
-Defined results: null text is empty and has no lines. Repeated rows and ids are ordered by
-id, so a repeated row loses its lines to the first (ties of one doc_id: each line number is kept once).
-Very long lines are lines like others. Extra columns are kept by `dedup_lines`. An
-empty table gives no rows. Rows with a null doc_id stay unchanged.
+Within a group only pairs whose counts of characters allow `EDITS` edits are compared.
+
+Defined results: null text is empty and has no lines. Rows of one doc_id are rows of their own, in an
+order that is fixed once: a repeated row loses its lines to the first. Very long lines are lines like others.
+Extra columns are kept by `dedup_lines`; those of the names it adds are replaced. An
+empty table gives no rows. Rows with a null doc_id stay unchanged, and no line is lost to them.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .packed import BLOB_SCHEMA, Packer, bits_for, bucketed, unpack
-from .shared import bounded_batches, cut, parts_of, small
+from .shared import bounded_batches, cut, fresh_name, parts_of, scratch, small, spread_join, with_row
 
 EDITS = 2
 LEAST = 30
@@ -73,10 +75,10 @@ class Lines:
 def _occurrences(batches):
     for batch in batches:
         data, offsets = K.buffers(batch.column("text"))
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        ids = batch.column("row").to_numpy(zero_copy_only=False)
         for i, j in K.chunks(offsets):
             lines = Lines(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            yield pa.record_batch([pa.array(lines.hash), pa.array(ids[i + lines.row], pa.int64()), pa.array(lines.number.astype(np.int32))], names=["line", "doc_id", "number"])
+            yield pa.record_batch([pa.array(lines.hash), pa.array(ids[i + lines.row], pa.int64()), pa.array(lines.number.astype(np.int32))], names=["line", "row", "number"])
 
 
 def segments(n: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -219,19 +221,30 @@ def _banded(xs: list[str], ys: list[str], m1: np.ndarray, m2: np.ndarray, t: int
     return np.where(m1 == 0, m2, distance)
 
 
+#: Characters are counted in so many bins.
+BINS = 32
+
+
+def _histograms(texts: list[str]) -> np.ndarray:
+    """Counts of each text's characters in BINS bins. An edit changes two of them by one at most."""
+    length = np.array([len(t) for t in texts], np.int64)
+    code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    at = np.repeat(np.arange(len(texts)), length) * BINS + code % BINS
+    return np.bincount(at, minlength=len(texts) * BINS).reshape(-1, BINS).astype(np.int32)
+
+
 def _late(edits: int):
     """Lines of whole groups that come after a line within `edits` edits. Each group's first line is compared with all others; only those it does not settle are compared with the rest."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("group", "ascending"), ("block", "ascending"), ("doc_id", "ascending"), ("number", "ascending"), ("line", "ascending")])
+        table = table.sort_by([("group", "ascending"), ("block", "ascending"), ("row", "ascending"), ("number", "ascending"), ("line", "ascending")])
         group, block, line, side = (table.column(c).to_numpy() for c in ("group", "block", "line", "side"))
         text = table.column("text").to_pylist()
         head = np.ones(len(line), bool)
         head[1:] = (group[1:] != group[:-1]) | (block[1:] != block[:-1])
         head = np.flatnonzero(head)
-        size = np.diff(np.append(head, len(line)))
+        end = np.append(head[1:], len(line))
         late: set[int] = set()
-        done: set[tuple[int, int]] = set()
         waiting: list[tuple[int, int]] = []
 
         def settle():
@@ -240,23 +253,25 @@ def _late(edits: int):
                 late.update(int(line[waiting[k][1]]) for k in np.flatnonzero(hit))
                 waiting.clear()
 
-        def compare(i: int, j: int):
-            pair = (int(line[i]), int(line[j]))
-            if pair not in done and pair[1] not in late and (side[i] < 0 or side[i] != side[j]):
-                done.add(pair)
-                waiting.append((i, j))
+        for a, b in zip(head.tolist(), end.tolist(), strict=True):
+            for j in range(a + 1, b):
+                if int(line[j]) not in late and (side[a] < 0 or side[a] != side[j]):
+                    waiting.append((a, j))
+                    if len(waiting) >= 8192:
+                        settle()
+        settle()
+        for a, b in zip(head.tolist(), end.tolist(), strict=True):
+            rest = [j for j in range(a + 1, b) if int(line[j]) not in late]
+            if not rest or rest[-1] == a + 1:
+                continue
+            counts = _histograms(text[a:b])
+            for j in rest:
+                # nearest first: a late line is settled by few comparisons
+                gap = np.abs(counts[1 : j - a] - counts[j - a]).sum(1)
+                near = np.flatnonzero((gap <= 2 * edits) & ((side[j] < 0) | (side[a + 1 : j] != side[j])))
+                waiting += [(a + 1 + i, j) for i in near[np.argsort(gap[near], kind="stable")].tolist()]
                 if len(waiting) >= 8192:
                     settle()
-
-        for a, n in zip(head.tolist(), size.tolist(), strict=True):
-            for j in range(a + 1, a + n):
-                compare(a, j)
-        settle()
-        for a, n in zip(head.tolist(), size.tolist(), strict=True):
-            for j in range(a + 2, a + n):
-                if int(line[j]) not in late:
-                    for i in range(a + 1, j):
-                        compare(i, j)
         settle()
         return pa.table({"line": pa.array(sorted(late), pa.int64())})
 
@@ -276,7 +291,7 @@ def late_lines(docs: DataFrame, first: DataFrame, edits: int = EDITS, least: int
     wanted = cut(groups.select("line").distinct(), "wanted")
     # the lines that met are few; the hint goes only to a counted table
     lines = texts.mapInArrow(_line_texts(least), "line long, text string").join(small(wanted, 16), "line", "left_semi").dropDuplicates(["line"])
-    placed = lines.join(first.select("line", "first.doc_id", "first.number"), "line")
+    placed = lines.join(first.select("line", "first.row", "first.number"), "line")
     blocks = F.ceil(F.col("size") / BLOCK_LINES).cast("int")
     own = F.pmod(F.xxhash64("line"), blocks).cast("int")
     rows = groups.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -287,16 +302,16 @@ def late_lines(docs: DataFrame, first: DataFrame, edits: int = EDITS, least: int
 
 
 def removals(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """(doc_id, gone): the numbers of the lines to be removed, of documents with any."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    lines = cut(docs.mapInArrow(_occurrences, "line long, doc_id long, number int"), "occurrences")
-    at = F.struct("doc_id", "number")
-    first = lines.groupBy("line").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
-    # a line close to an earlier one goes in all its occurrences, any other one in all but its first
-    late = cut(late_lines(docs, first, edits, least), "late").withColumn("late", F.lit(True))
-    verdict = first.join(late, "line", "left").where("n > 1 or late").select("line", "first", F.coalesce("late", F.lit(False)).alias("late"))
-    gone = lines.join(verdict, "line").where(F.col("late") | (F.col("first") < at))
-    return gone.groupBy("doc_id").agg(F.collect_list("number").alias("gone"))
+    """(row, gone): the numbers of the lines to be removed, of those rows of docs(row, text) with any."""
+    with scratch():
+        lines = cut(docs.mapInArrow(_occurrences, "line long, row long, number int"), "occurrences")
+        at = F.struct("row", "number")
+        first = lines.groupBy("line").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
+        # a line close to an earlier one goes in all its occurrences, any other one in all but its first
+        late = cut(late_lines(docs, first, edits, least), "late").withColumn("late", F.lit(True))
+        verdict = cut(first.join(late, "line", "left").where("n > 1 or late").select("line", "first", "n", F.coalesce("late", F.lit(False)).alias("late")), "verdict")
+        gone = spread_join(lines, verdict, "line", "n").where(F.col("late") | (F.col("first") < at))
+        return cut(gone.groupBy("row").agg(F.collect_list("number").alias("gone")), "gone", keep=True)
 
 
 def _kept(with_text: bool):
@@ -319,27 +334,35 @@ def _kept(with_text: bool):
                     texts.append(text.decode("utf-8"))
                 else:
                     digest.append(hashlib.sha256(text).hexdigest())
-            extra = [pa.array(n_lines, pa.int64()), pa.array(n_gone, pa.int64())]
-            if with_text:
-                k = batch.schema.get_field_index("text")
-                had = batch.set_column(k, batch.schema.field(k), pa.array(texts, batch.schema.field(k).type)).drop_columns(["gone"])
-                yield pa.record_batch([*had.columns, *extra], names=[*had.schema.names, "n_lines", "n_removed"])
-            else:
-                yield pa.record_batch([batch.column("doc_id"), *extra, pa.array(digest, pa.string())], names=["doc_id", "n_lines", "n_removed", "kept_sha256"])
+            done = pa.array(texts if with_text else digest, pa.large_string() if with_text else pa.string())
+            yield pa.record_batch([batch.column("had"), done, pa.array(n_lines, pa.int64()), pa.array(n_gone, pa.int64())], names=["had", "text", "n_lines", "n_removed"])
 
     return run
 
 
+def _judged(docs: DataFrame, had, with_text: bool, edits: int, least: int) -> DataFrame:
+    """(had, text or its digest, n_lines, n_removed); had: a column of docs that is carried along."""
+    bounded_batches(docs.sparkSession)
+    row = fresh_name(docs, "row")
+    named = docs.where("doc_id is not null")
+    rows = with_row(named, "doc_id", "text", row)
+    slim = rows.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text"), had.alias("had"))
+    none = F.lit(None).cast("array<int>").alias("gone")
+    found = slim.join(removals(slim.select("row", "text"), edits, least), "row", "left").select("text", "had", "gone")
+    unnamed = docs.where("doc_id is null").select(F.col("text").cast("string").alias("text"), had.alias("had"), none)
+    kind = found.schema["had"].dataType.simpleString()
+    return found.unionByName(unnamed).mapInArrow(_kept(with_text), f"had {kind}, text string, n_lines long, n_removed long")
+
+
 def report(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(doc_id, n_lines with a word, n_removed, kept_sha256 of the text that is left)."""
-    bounded_batches(docs.sparkSession)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.join(removals(slim, edits, least), "doc_id", "left").mapInArrow(_kept(False), "doc_id long, n_lines long, n_removed long, kept_sha256 string")
+    found = _judged(docs, F.col("doc_id").cast("long"), False, edits, least)
+    return found.select(F.col("had").alias("doc_id"), "n_lines", "n_removed", F.col("text").alias("kept_sha256"))
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """docs without the removed lines, all columns, with n_lines and n_removed. docs must not have columns of these names or `gone`."""
-    bounded_batches(docs.sparkSession)
-    joined = docs.withColumn("text", F.col("text").cast("string")).join(removals(docs, edits, least), "doc_id", "left").select(*docs.columns, "gone")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name != "gone") + ", n_lines long, n_removed long"
-    return joined.mapInArrow(_kept(True), schema)
+    """docs without the removed lines, all columns, with n_lines and n_removed (which replace columns of these names)."""
+    others = [c for c in docs.columns if c.lower() not in ("text", "n_lines", "n_removed")]
+    found = _judged(docs, F.struct(*(F.col(f"`{c}`") for c in others)), True, edits, least)
+    columns = [F.col("text") if c.lower() == "text" else F.col(f"had.`{c}`") for c in docs.columns if c in others or c.lower() == "text"]
+    return found.select(*columns, "n_lines", "n_removed")

@@ -77,6 +77,26 @@ def spread_join(rows: DataFrame, unique: DataFrame, key: str, count: str) -> Dat
     return rows.join(F.broadcast(hot), key).unionByName(seldom)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_row(df: DataFrame, key: str, text: str, row: str) -> DataFrame:
+    """df with a long column `row` that names each row and is ordered as `key` is: the key itself where no row lacks it and no two share it.
+
+    Otherwise rows are sorted by key (nulls first; ties by their text's hash) and numbered once, in a table of the shared folder."""
+    value = F.col(key).cast("long")
+    odd = df.groupBy(value.alias("k")).agg(F.count(F.lit(1)).alias("c")).where("k is null or c > 1")
+    if not odd.limit(1).count():
+        return df.withColumn(row, value)
+    ordered = df.sort(value.asc_nulls_first(), F.xxhash64(F.col(text).cast("string")), F.rand(7))
+    return cut(ordered.withColumn(row, F.monotonically_increasing_id()), "numbered", keep=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

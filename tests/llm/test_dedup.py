@@ -4,9 +4,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from quadspark.llm import jaccard_join, line_dedup, substring_dedup
+from quadspark.llm import jaccard_join, kernel, line_dedup, substring_dedup
 from quadspark.llm.components import components
 
 from .helpers import corpus, edit_distance, jaccard_classes, prose, repeated_words
@@ -133,8 +134,6 @@ def test_line_groups_in_blocks(spark, monkeypatch, block):
 
 def test_jaccard_blocks_send_a_forest(spark):
     """Of a dense block only a spanning forest of its pairs leaves the task."""
-    import pyarrow as pa
-
     r = random.Random(8)
     n = 300
     lists = [sorted(r.sample(range(1000), 6)) + list(range(1000, 1060)) for _ in range(n)]
@@ -154,3 +153,45 @@ def test_jaccard_blocks_send_a_forest(spark):
         assert 100 * both >= 80 * (132 - both) and find(comp[u]) != find(comp[v])
         parent[find(comp[u])] = find(comp[v])
     assert len({find(c) for c in comp}) == 1
+
+
+def test_lines_of_repeated_ids_and_clashing_columns(spark):
+    """Rows of one doc_id do not lose each other's lines, null ids stay, columns of any name are kept or replaced."""
+    y = "y line that both of them have"
+    docs = [(0, y, 1), (1, "a\n" + y, 2), (1, y + "\nb", 3), (2, "same row", 4), (2, "same row", 4), (None, y, 5), (None, None, 6)]
+    df = spark.createDataFrame([(*d, "g", 7, 8, 9) for d in docs], "doc_id long, text string, line int, gone string, n_lines long, row int, number int")
+    got = line_dedup.dedup_lines(df)
+    assert got.columns == ["doc_id", "text", "line", "gone", "row", "number", "n_lines", "n_removed"]
+    rows = sorted(((r.line, r.text, r.n_removed) for r in got.collect()), key=str)
+    assert rows == [(1, y, 0), (2, "a", 1), (3, "b", 1), (4, "", 1), (4, "same row", 0), (5, y, 0), (6, "", 0)]
+    assert sorted((r.n_lines, r.n_removed) for r in line_dedup.report(df).collect()) == sorted([(1, 0), (2, 1), (2, 1), (1, 1), (1, 0), (1, 0), (0, 0)])
+
+
+def test_distant_lines_of_a_group_need_little(spark):
+    """A group of thousands of lines that share a third but are far apart is settled without its pairs in memory."""
+    r = random.Random(2)
+    texts = [("#" * 14) + "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(28)) for _ in range(1500)]
+    texts.append(texts[700][:-1] + "!")
+    n = len(texts)
+    table = pa.table({"group": [1] * n, "block": [0] * n, "side": [-1] * n, "line": list(range(n)), "row": list(range(n)), "number": [0] * n, "text": texts})
+    assert line_dedup._late(2)(table)["line"].to_pylist() == [n - 1]
+
+
+@pytest.mark.parametrize("frequent", [1000, 2])
+def test_substring_dedup_of_frequent_passages(spark, monkeypatch, frequent):
+    """Repeated and null ids are rows of their own; a passage of many documents, whose minimisers are dealt by window, and a text that repeats itself."""
+    monkeypatch.setattr(substring_dedup, "FREQUENT", frequent)
+    shared = prose(70, 25)
+    docs = [(i // 2, prose(100 + i, 20 + i) + " " + shared + " " + prose(200 + i, 10)) for i in range(40)]
+    docs += [(None, prose(80, 30)), (90, prose(80, 30)), (None, prose(81, 30)), (91, shared + " x " + shared), (91, prose(100, 60)), (92, "y " * 30), (1, prose(5, 200)), (1, prose(5, 40))]
+    want = repeated_words(list(enumerate(t for _, t in docs)), 10)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    hot = []
+    find = substring_dedup._frequent
+    monkeypatch.setattr(substring_dedup, "_frequent", lambda again: hot.append(find(again)) or hot[0])
+    rows = substring_dedup.remove_repeats(df, 10, 4).collect()
+    w = kernel.Words(*kernel.buffers(pa.array([shared])), kernel.SPACE_SEPARATED)
+    common = kernel.sliding_min(kernel.windows(w.hashes(), 4), 7)
+    assert len(hot[0]) == 0 if frequent == 1000 else set(common.tolist()) <= set(hot[0].tolist())
+    key = lambda x: str(x)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in rows), key=key) == sorted(((docs[i][0], n, gone, hashlib.sha256(kept).hexdigest()) for i, (n, gone, kept) in want.items()), key=key)
