@@ -4,21 +4,20 @@ A page becomes a stream of blocks (texts between block-level tags), each with wh
 the markup says: main (inside article or main), dropped (navigation, headers, footers,
 sidebars, notices, adverts, forms, comments, hidden parts) or open.
 
-Dropped blocks go. All others are judged by their host: token streams of the host's pages, main
-blocks included, are concatenated, their suffix array is sorted, and neighbouring suffixes with a long
-common prefix mark repeats. The markup is evidence beside it: in an open block, what another page
-has too is boilerplate, and unique runs stay, also around a main part. A main block goes only
-whole, and only if `support` different pages of the host have it, since a passage that two articles share is
-still article text; copies of a page (equal in all their blocks) count as one. A page that would lose all
-its main blocks that way keeps them.
-
-A host with many pages is dealt to tasks by the hash of each block's rarest
-(least-hashed) window, not by host alone: a repeated substring of at least `window`
-tokens has the same minimiser wherever it occurs, so both its occurrences meet in
-one task, and no task has to hold a whole host.
+Dropped blocks go. All others are judged by their host: a page's stream has the words of its open blocks, and each of its
+main blocks as one token, since what an article shares with another one in parts is still article text. The streams of a host's pages
+are concatenated, their suffix array and its common prefixes are taken, and substrings of at least `window` words
+(a shorter block: all of it) that two different pages have are boilerplate; unique runs stay. A main block goes if `support` different pages have
+it; a page that would lose all its main blocks that way keeps them. Copies of a page (equal in all their blocks) count as one page.
+
+Streams are dealt to tasks by the minimisers of their windows, so no task holds a whole host: equal windows have equal
+minimisers. Equal pieces of one task travel once, and only as a mark if they are known to be repeated.
+
+Markup names are evidence where all parts of a name speak of furniture (`site-footer`, not `no-sidebar` or `social-science`);
+an article or main element inside such a part is main again, except among comments.
 
 Defined results: null html is empty, its text is ''. Text outside any tag is open. Unclosed
-tags end with their parent; stray end tags are ignored. Repeated rows with one page_id are one page.
+tags end with their parent; stray end tags are ignored. Rows with a null or repeated page_id are pages of their own.
 Extra columns are ignored. An empty table gives no rows.
 """
 
@@ -27,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .fm_index import suffix_array
 from .packed import bits_for
-from .shared import bounded_batches, cut, parts_of
+from .shared import bounded_batches, cut, parts_of, with_row
 
 #: Tags by role.
 BLOCK_TAGS = frozenset(
@@ -47,11 +47,31 @@ RAW_TAGS = frozenset("script style noscript template textarea title svg math ifr
 DROPPED_TAGS = frozenset("nav header footer aside form head menu dialog search fieldset figure label".split()) | RAW_TAGS
 MAIN_TAGS = frozenset(("article", "main"))
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-DROPPED_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|header|footer|foot|cookies?|consent|gdpr|notice|newsletter|subscribe|popup|modal|overlay|comments?|replies|disqus|related|recommend\w*|share|sharing|social|widget|login|search|pagination|pager|toolbar|skip|hidden|copyright|legal)(?:$|[\s_-])",
-    re.I,
+#: Parts of class names and ids: furniture, comments, words that go with either, and words that deny.
+FURNITURE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars header masthead footer cookie cookies consent gdpr notice notices newsletter subscribe subscription popup modal overlay related recommended recommendations share sharing social widget widgets login signin search pagination pager toolbar skip hidden copyright legal disclaimer".split()
+)
+COMMENTS = frozenset("comment comments reply replies disqus respond".split())
+GENERIC = frozenset(
+    "site page main global top bottom left right primary secondary inner outer box bar list lists container wrapper wrap section area block blocks panel slot unit link links item items button buttons icon icons form signup text message content header footer post posts article articles entry story stories blog user reader thread trail region group row col column fixed sticky mobile desktop small large the and of by for more".split()
 )
-MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story)[_-]?(?:body|content|text)(?:$|[\s_-])", re.I)
+DENIALS = frozenset("no not non has with without hide is".split())
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+
+
+def named(value: str) -> str | None:
+    """What a class or id says: "comments", "furniture" or nothing. All parts of one of its names must speak of it."""
+    for name in value.split():
+        parts = [p.lower() for p in _PARTS.findall(name) if not p.isdigit()]
+        if not parts or DENIALS.intersection(parts) or not all(p in FURNITURE or p in COMMENTS or p in GENERIC for p in parts):
+            continue
+        if COMMENTS.intersection(parts):
+            return "comments"
+        if FURNITURE.intersection(parts):
+            return "furniture"
+    return None
+
+
 #: A new one of the first closes an open one of the second.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 P_CLOSERS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -59,7 +79,7 @@ P_CLOSERS = frozenset("address article aside blockquote details div dl fieldset
 _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|<\?[^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPACES = re.compile(r"[\s]+")
-OPEN, MAIN, DROPPED = 0, 1, 2
+OPEN, MAIN, DROPPED, HINTED = 0, 1, 2, 3
 WINDOW = 8
 #: Different pages of a host that make a main block boilerplate.
 SUPPORT = 3
@@ -79,11 +99,10 @@ def _place(tag: str, attributes: str, parent: int) -> int:
                 parent = MAIN
             if k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I):
                 return DROPPED
-            if k in ("class", "id") and tag not in ("html", "body"):
-                if DROPPED_NAMES.search(v) and not MAIN_NAMES.search(v):
+            if k in ("class", "id") and tag not in ("html", "body", *MAIN_TAGS) and (says := named(v)):
+                if says == "comments":
                     return DROPPED
-                if MAIN_NAMES.search(v):
-                    parent = MAIN
+                parent = HINTED
     return MAIN if tag in MAIN_TAGS else parent
 
 
@@ -92,14 +111,22 @@ def blocks(page: str) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     parts: list[str] = []
     stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
     now = OPEN
 
+    def leave(i: int) -> int:
+        """Closes stack[i:]; returns what held before."""
+        before = stack[i][1]
+        opened.subtract(t for t, _ in stack[i:])
+        del stack[i:]
+        return before
+
     def close():
         if parts:
             text = _SPACES.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                out.append((text, now))
+                out.append((text, DROPPED if now == HINTED else now))
 
     at, end = 0, len(page)
     while at < end:
@@ -114,21 +141,21 @@ def blocks(page: str) -> list[tuple[str, int]]:
         if tag is None:
             continue
         tag = tag.lower()
-        if tag in BLOCK_TAGS or now != DROPPED and tag in DROPPED_TAGS:
+        if tag in BLOCK_TAGS or now not in (DROPPED, HINTED) and tag in DROPPED_TAGS:
             close()
         elif tag == "br":
             parts.append(" ")
         if m.group(1):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if i and tag not in BLOCK_TAGS and any(t in BLOCK_TAGS for t, _ in stack[i + 1 :]):
+            if opened[tag] > 0:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == tag:
+                        before = leave(i)
+                        if before != now:
+                            close()
+                        now = before
+                        break
+                    if tag not in BLOCK_TAGS and stack[i][0] in BLOCK_TAGS:
                         break  # an inline end tag does not close blocks
-                    close_now = stack[i][1]
-                    del stack[i:]
-                    if close_now != now:
-                        close()
-                    now = close_now
-                    break
             continue
         attributes = m.group(3)
         if tag in VOID_TAGS or attributes.endswith("/") and tag not in BLOCK_TAGS:
@@ -143,8 +170,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
             for i in range(len(stack) - 1, -1, -1):
                 t = stack[i][0]
                 if t in closes:
-                    now = stack[i][1]
-                    del stack[i:]
+                    now = leave(i)
                     break
                 if t in BLOCK_TAGS:
                     break
@@ -152,6 +178,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
         if place != now:
             close()
         stack.append((tag, now))
+        opened[tag] += 1
         now = place
     close()
     return out
@@ -166,84 +193,211 @@ def host_of(url: str | None) -> str:
 
 
 def _blocks(batches):
+    """The blocks of each page that are not dropped."""
     for batch in batches:
-        main, place = [], []
+        texts, places = [], []
         for value in batch.column("html"):
-            found = blocks(value.as_py() or "")
-            main.append([t for t, _ in found])
-            place.append([p for _, p in found])
-        yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(main, pa.list_(pa.string())), pa.array(place, pa.list_(pa.int32()))], names=["page_id", "url", "blocks", "places"])
-
-
-_WINDOWS = pa.schema([("host", pa.string()), ("part", pa.int32()), ("page_id", pa.int64()), ("block", pa.int32()), ("start", pa.int32()), ("main", pa.bool_()), ("content", pa.int64()), ("tokens", pa.binary())])
-
-
-def _runs(bits: int, window: int):
-    """Main and open blocks cut at the changes of their windows' minimisers, with the tokens that the windows cover."""
+            found = [x for x in blocks(value.as_py() or "") if x[1] != DROPPED]
+            texts.append([t for t, _ in found])
+            places.append([p for _, p in found])
+        yield pa.record_batch([batch.column(c) for c in ("row", "page_id", "url")] + [pa.array(texts, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int32()))], names=["row", "page_id", "url", "blocks", "places"])
+
+
+#: Kinds of pieces: words of an open block, an open block of fewer words than a window, a main block.
+LONG, SHORT, WHOLE = 0, 1, 2
+#: Pieces of a bucket: kind and tokens, the different pages that have it (int64 digests), its places (row, block, first word, number of words); without places it is a mark.
+PIECES_SCHEMA = "part int, pieces array<binary>, pages array<binary>, places array<binary>, done binary"
+_PIECES = pa.schema([("part", pa.int32()), ("pieces", pa.list_(pa.binary())), ("pages", pa.list_(pa.binary())), ("places", pa.list_(pa.binary())), ("done", pa.binary())])
+#: Bytes of pieces that a task gathers before it sends them.
+GATHERED = 32 << 20
+
+
+def _text_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    w = K.Words.__new__(K.Words)
+    w.data, w.starts, w.ends = data, offsets[:-1], offsets[1:]
+    return w.hashes()
+
+
+def _pieces_of(texts: list[str], places: list[int], host: np.ndarray, window: int):
+    """(kind, block, first word, number of words, bucket hash, bytes) of the pieces of some blocks; host: a hash for each block."""
+    data, offsets = K.buffers(pa.array(texts, pa.large_string()))
+    whole = K.mix(_text_hashes(data, offsets) ^ host)
+    main = np.array(places) == MAIN
+    w = K.Words(data, offsets, K.SPACE_SEPARATED)
+    n = w.counts
+    for b in np.flatnonzero(main | (n < window)).tolist():
+        kind = WHOLE if main[b] else SHORT
+        yield kind, b, 0, int(n[b]), int(whole[b]), bytes([kind]) + whole[b].tobytes()
+    token = K.mix(w.hashes() ^ host[w.row])
+    m = window // 2
+    low = K.sliding_min(K.windows(token, m), window - m + 1)
+    row = w.row[: len(low)]
+    ok = K.inside(w.first, len(token), window) & ~main[row]
+    opens = np.ones(len(low), bool)
+    opens[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1]) | ~ok[:-1]
+    edge = np.flatnonzero(opens | ~ok)
+    at = np.flatnonzero(opens & ok)
+    after = np.append(edge, len(low))[np.searchsorted(edge, at, "right")]
+    small = (token & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    for a, e, b in zip(at.tolist(), (after + window - 1).tolist(), row[at].tolist(), strict=True):
+        yield LONG, b, a - int(w.first[b]), e - a, int(low[a]), bytes([LONG]) + small[a:e].tobytes()
+
+
+def _pieces(bits: int, window: int, support: int):
+    """Pieces of open and main blocks, cut where their windows' minimisers change."""
+    mask = (1 << bits) - 1
+
+    def emit(held: dict):
+        by_part: dict[int, tuple[list, list, list]] = {}
+        done: list[bytes] = []
+        for piece, (part, pages, *at) in held.items():
+            to = by_part.setdefault(part, ([], [], []))
+            known = len(pages) >= (support if piece[0] == WHOLE else 2)
+            to[0].append(piece)
+            to[1].append(b"" if known else np.array(sorted(pages), np.int64).tobytes())
+            places = np.array(at, np.int64).tobytes()
+            to[2].append(b"" if known else places)
+            if known:
+                done.append(places)
+        rest = pa.nulls(len(by_part), pa.binary())
+        yield pa.record_batch([pa.array(list(by_part), pa.int32()), *(pa.array([x[k] for x in by_part.values()], pa.list_(pa.binary())) for k in range(3)), rest], schema=_PIECES)
+        whole = b"".join(done)
+        cuts = [whole[i : i + (1 << 20)] for i in range(0, len(whole), 1 << 20)]
+        if cuts:
+            none = [pa.nulls(len(cuts), pa.list_(pa.binary()))] * 3
+            yield pa.record_batch([pa.array([(len(held) + k) * 0x9E3779B1 & mask for k in range(len(cuts))], pa.int32()), *none, pa.array(cuts, pa.binary())], schema=_PIECES)
 
     def run(batches):
+        held: dict[bytes, list] = {}
+        room = GATHERED
+        hosts: dict[str, int] = {}
         for batch in batches:
-            rows = []
-            for page, url, texts, places in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "blocks", "places")), strict=True):
-                told = "\n".join(t for t, p in zip(texts, places, strict=True) if p != DROPPED)
-                content = int.from_bytes(hashlib.sha256(told.encode()).digest()[:8], "little", signed=True)
-                for b, (text, place) in enumerate(zip(texts, places, strict=True)):
-                    if place == DROPPED:
-                        continue
-                    data, offsets = K.buffers(pa.array([text]))
-                    h = K.Words(data, offsets, K.SPACE_SEPARATED).hashes()
-                    size = min(window, len(h))  # a shorter block is one window
-                    m = max(1, size // 2)
-                    low = K.sliding_min(K.windows(h, m, salt=size), size - m + 1)
-                    cuts = np.flatnonzero(np.diff(low, prepend=low[0] + np.uint64(1)))
-                    for a, e in zip(cuts.tolist(), np.append(cuts[1:], len(low)).tolist(), strict=True):
-                        rows.append((host_of(url), int(low[a] & np.uint64((1 << bits) - 1)), page, b, a, place == MAIN, content, h[a : e + size - 1].tobytes()))
-            columns = list(zip(*rows, strict=True)) or [()] * len(_WINDOWS)
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _WINDOWS, strict=True)], schema=_WINDOWS)
+            ids, texts, places, owner, number, host, page = [], [], [], [], [], [], []
+            for row, url, value in zip(*(batch.column(c) for c in ("row", "url", "html")), strict=True):
+                found = [x for x in blocks(value.as_py() or "") if x[1] != DROPPED]
+                if not found:
+                    continue
+                name = host_of(url.as_py())
+                if name not in hosts:
+                    if len(hosts) > 100_000:
+                        hosts.clear()
+                    hosts[name] = int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little")
+                digest = hashlib.blake2b("\n".join(t for t, _ in found).encode(), digest_size=8).digest()
+                content = int.from_bytes(digest, "little", signed=True)
+                ids.append(row.as_py())
+                for b, (t, p) in enumerate(found):
+                    texts.append(t)
+                    places.append(p)
+                    owner.append(len(ids) - 1)
+                    number.append(b)
+                    host.append(hosts[name])
+                    page.append(content)
+            if not texts:
+                continue
+            for _, b, start, n, key, piece in _pieces_of(texts, places, np.array(host, np.uint64), window):
+                had = held.get(piece)
+                if had is None:
+                    held[piece] = [key & mask, {page[b]}, ids[owner[b]], number[b], start, n]
+                    room -= len(piece) + 400
+                else:
+                    if len(had[1]) < support:
+                        had[1].add(page[b])
+                    had += (ids[owner[b]], number[b], start, n)
+                    room -= 32
+            if room < 0:
+                yield from emit(held)
+                held, room = {}, GATHERED
+        if held:
+            yield from emit(held)
 
     return run
 
 
-_SPANS = pa.schema([("page_id", pa.int64()), ("block", pa.int32()), ("start", pa.int32()), ("length", pa.int32())])
+_SPANS = pa.schema([("row", pa.int64()), ("spans", pa.binary())])
+
+
+def _by_page(places: np.ndarray) -> pa.Table:
+    """One row per page with its (block, first word, number of words) packed; places: (row, block, first word, number)."""
+    if not len(places):
+        return _SPANS.empty_table()
+    places = places[np.argsort(places[:, 0], kind="stable")]
+    ids = places[:, 0]
+    head = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1))
+    ends = np.append(head[1:], len(ids))
+    rest = places[:, 1:].astype(np.int32)
+    return pa.table([pa.array(ids[head]), pa.array([rest[i:j].tobytes() for i, j in zip(head.tolist(), ends.tolist(), strict=True)], pa.binary())], schema=_SPANS)
+
+
+def common_prefixes(seq: np.ndarray, sa: np.ndarray, room: np.ndarray, most: int) -> np.ndarray:
+    """Length of the common prefix of each suffix with the one before it in order, up to `most`; room: tokens up to the end of each one's stream."""
+    a, b = sa[:-1], sa[1:]
+    limit = np.minimum(np.minimum(room[a], room[b]), most)
+    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(K.mix(seq.astype(np.uint64) + np.uint64(1)) * K._POW(len(seq))[: len(seq)], dtype=np.uint64)])
+    inverse = K._INV(len(prefix))
+    length = np.zeros(len(a), np.int64)
+    step = 1 << max(0, int(most).bit_length() - 1)
+    while step:
+        ok = np.flatnonzero(length + step <= limit)
+        x, y = a[ok] + length[ok], b[ok] + length[ok]
+        same = (prefix[x + step] - prefix[x]) * inverse[x] == (prefix[y + step] - prefix[y]) * inverse[y]
+        length[ok[same]] += step
+        step >>= 1
+    return np.concatenate([[0], length])
+
+
+def repeated_runs(streams: list[np.ndarray], page: np.ndarray, known: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stream, first token, number) of the runs that lie in substrings of `window` tokens which two different pages have; known: streams that count as two pages."""
+    length = np.array([len(x) for x in streams], np.int64)
+    _, symbol = np.unique(np.concatenate(streams), return_inverse=True)
+    at = np.cumsum(length + 1) - length - 1
+    seq = np.zeros(int((length + 1).sum()), np.int64)
+    seq[K.ranges(at, length)] = symbol + 1
+    stream = np.repeat(np.arange(len(streams)), length + 1)
+    room = (at + length)[stream] - np.arange(len(seq))
+    sa = suffix_array(seq)
+    joins = common_prefixes(seq, sa, room, window) >= window
+    group = np.cumsum(~joins) - 1
+    head = np.flatnonzero(~joins)
+    p, k = page[stream[sa]], known[stream[sa]]
+    enough = np.logical_or.reduceat(k, head) | (np.minimum.reduceat(p, head) != np.maximum.reduceat(p, head))
+    hit = np.zeros(len(seq) + 1, bool)
+    hit[sa] = enough[group] & (room[sa] >= window)
+    opens, closes = K.runs(hit[:-1])
+    s = stream[opens]
+    return s, opens - at[s], closes - opens + window - 1
 
 
 def _repeated(window: int, support: int):
-    """Spans of a bucket of a host that other pages have too (of a main block: `support` different pages), by the suffix array of its token streams."""
+    """(row, spans): spans of a bucket's pieces that enough different pages have; words by the suffix array of their streams."""
 
     def run(table: pa.Table) -> pa.Table:
-        raw = [np.frombuffer(t.as_buffer(), np.uint64) for t in table.column("tokens")]
-        length = np.array([len(r) for r in raw])
-        page, block, start, main, content = (table.column(c).to_numpy() for c in ("page_id", "block", "start", "main", "content"))
-        _, symbol = np.unique(np.concatenate(raw), return_inverse=True)
-        at = np.cumsum(length + 1) - length - 1
-        seq = np.zeros(int((length + 1).sum()), np.int64)
-        seq[K.ranges(at, length)] = symbol + 1
-        sa = suffix_array(seq)
-        stream = np.repeat(np.arange(len(raw)), length + 1)
-        room = np.repeat(at + length, length + 1) - np.arange(len(seq))  # tokens up to the end of the stream
-        whole = np.repeat(length, length + 1) < window
-        need = np.where(whole, np.repeat(length, length + 1), window)
-        # suffixes that share their first `window` tokens (a short stream: all) are neighbours
-        key = np.zeros(len(seq), np.uint64)
-        full = room >= need
-        full &= seq > 0
-        for size in np.unique(need[full]).tolist():
-            own = np.flatnonzero(full & (need == size))
-            key[own] = K.windows(seq.astype(np.uint64), size, salt=size)[own]
-        order = sa[full[sa]]
-        k, p = key[order], page[stream[order]]
-        head = np.flatnonzero(np.diff(k, prepend=k[0] + np.uint64(1)) != 0) if len(k) else np.empty(0, np.int64)
-        if not len(head):
-            return _SPANS.empty_table()
-        size = np.diff(np.append(head, len(k)))
-        many = np.repeat(np.maximum.reduceat(p, head) != np.minimum.reduceat(p, head), size)
-        group, c = np.repeat(np.arange(len(head)), size), content[stream[order]]
-        by = np.lexsort((c, group))
-        new = (np.diff(group[by], prepend=-1) != 0) | (np.diff(c[by], prepend=c[by[0]]) != 0)
-        enough = np.bincount(group[by][new], minlength=len(head))[group] >= support
-        hit = order[np.where(main[stream[order]], enough, many)]
-        s = stream[hit]
-        return pa.table([pa.array(page[s]), pa.array(block[s]), pa.array((start[s] + hit - at[s]).astype(np.int32)), pa.array(need[hit].astype(np.int32))], schema=_SPANS)
+        out = [np.frombuffer(b"".join(v.as_py() or b"" for v in table.column("done")), np.int64).reshape(-1, 4)]
+        whole = table.filter(table.column("pieces").is_valid())
+        found: dict[bytes, list] = {}
+        streams, pages, known, places = [], [], [], []
+        columns = (whole.column(c).combine_chunks() for c in ("pieces", "pages", "places")) if whole.num_rows else ()
+        for piece, page, place in zip(*(c.flatten().to_pylist() for c in columns), strict=True):
+            if piece[0] == LONG:
+                streams.append(np.frombuffer(piece, np.uint32, offset=1))
+                pages.append(int.from_bytes(page, "little", signed=True) if page else 0)
+                known.append(not page)
+                places.append(place)
+            else:
+                had = found.setdefault(piece, [set(), False, []])
+                had[0].update(np.frombuffer(page, np.int64).tolist())
+                had[1] |= not page
+                had[2].append(place)
+        for piece, (seen, sure, at) in found.items():
+            if sure or len(seen) >= (support if piece[0] == WHOLE else 2):
+                out.append(np.frombuffer(b"".join(at), np.int64).reshape(-1, 4))
+        if streams:
+            s, start, n = repeated_runs(streams, np.array(pages, np.int64), np.array(known, bool), window)
+            for k, a, c in zip(s.tolist(), start.tolist(), n.tolist(), strict=True):
+                at = np.frombuffer(places[k], np.int64).reshape(-1, 4).copy()
+                at[:, 2] += a
+                at[:, 3] = c
+                out.append(at)
+        return _by_page(np.concatenate(out))
 
     return run
 
@@ -253,22 +407,20 @@ def _joined(share: float):
         for batch in batches:
             texts = []
             for found, places, spans in zip(*(batch.column(c).to_pylist() for c in ("blocks", "places", "spans")), strict=True):
-                by_block: dict[int, list] = {}
-                for s in spans or ():
-                    by_block.setdefault(s["block"], []).append((s["start"], s["length"]))
+                span = np.frombuffer(b"".join(spans or ()), np.int32).reshape(-1, 3).astype(np.int64)
                 kept, main = [], []
                 for b, (text, place) in enumerate(zip(found, places, strict=True)):
-                    if place == DROPPED:
-                        continue
-                    words = text.encode().split()
-                    spans_of = np.array(by_block.get(b, ()), np.int64).reshape(-1, 2)
-                    gone = K.covered(spans_of[:, 0], spans_of[:, 1], len(words))
-                    stays = gone.mean() < share
+                    own = span[span[:, 0] == b]
                     if place == MAIN:
-                        main.append(stays)
-                        kept.append((stays, MAIN, text))
-                    elif stays:
-                        kept.append((True, OPEN, text if not gone.any() else b" ".join(w for w, g in zip(words, gone, strict=True) if not g).decode()))
+                        main.append(not len(own))
+                        kept.append((not len(own), MAIN, text))
+                    elif not len(own):
+                        kept.append((True, OPEN, text))
+                    else:
+                        words = text.encode().split()
+                        gone = K.covered(own[:, 1], own[:, 2], len(words))
+                        if len(words) and gone.mean() < share:
+                            kept.append((True, OPEN, b" ".join(w for w, g in zip(words, gone, strict=True) if not g).decode()))
                 # where every main block repeats, the page is a variant of others rather than furniture
                 texts.append("\n\n".join(t for stays, place, t in kept if stays or place == MAIN and not any(main)))
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
@@ -276,16 +428,19 @@ def _joined(share: float):
     return run
 
 
+def repeats(pages: DataFrame, window: int = WINDOW, support: int = SUPPORT) -> DataFrame:
+    """(row, spans) of pages(row, url, html): packed (block, first word, number of words) that other pages of the host have too."""
+    bits = bits_for(parts_of(pages, 16, 2))
+    pieces = pages.mapInArrow(_pieces(bits, window, support), PIECES_SCHEMA)
+    return pieces.groupBy("part").applyInArrow(_repeated(window, support), "row long, spans binary")
+
+
 def extract(pages: DataFrame, window: int = WINDOW, share: float = 0.8, support: int = SUPPORT) -> DataFrame:
-    """pages(page_id, url, html) -> (page_id, url, text, n_chars)."""
+    """pages(page_id, url, html) -> (page_id, url, text, n_chars). An open block goes whole if `share` of its words are repeated."""
     bounded_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    bits = bits_for(parts_of(pages, 16))
-    parsed = cut(pages.mapInArrow(_blocks, "page_id long, url string, blocks array<string>, places array<int>"), "blocks")
-    judgeable = F.exists("places", lambda p: p != DROPPED) & F.col("page_id").isNotNull()
-    runs = parsed.where(judgeable).mapInArrow(_runs(bits, window), "host string, part int, page_id long, block int, start int, main boolean, content long, tokens binary")
-    spans = runs.groupBy("host", "part").applyInArrow(_repeated(window, support), "page_id long, block int, start int, length int")
-    spans = spans.groupBy("page_id").agg(F.collect_list(F.struct("block", "start", "length")).alias("spans"))
-    settled = parsed.where(~judgeable).select("*", F.lit(None).cast("array<struct<block:int,start:int,length:int>>").alias("spans"))
-    judged = parsed.where(judgeable).join(spans, "page_id", "left").select("page_id", "url", "blocks", "places", "spans")
-    return settled.union(judged).mapInArrow(_joined(share), "page_id long, url string, text string, n_chars long")
+    pages = with_row(pages, "page_id", "html", "row")
+    spans = cut(repeats(pages.select("row", "url", "html"), window, support), "spans", keep=True)
+    spans = spans.groupBy("row").agg(F.collect_list("spans").alias("spans"))
+    parsed = pages.mapInArrow(_blocks, "row long, page_id long, url string, blocks array<string>, places array<int>")
+    return parsed.join(spans, "row", "left").select("page_id", "url", "blocks", "places", "spans").mapInArrow(_joined(share), "page_id long, url string, text string, n_chars long")

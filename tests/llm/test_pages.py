@@ -107,3 +107,76 @@ def test_warc_odd_headers(spark, monkeypatch):
     assert {r.refers_to for r in rows if r.page_id is not None and r.page_id < 100} == {None}
     assert {(r.page_id, r.record_type) for r in rows if r.refers_to == 119} == {(100 + i, "revisit") for i in range(19)} | {(None, "revisit")}
     assert spark.read.parquet(path + "/payloads").count() == len({h for _, _, h in pages})
+
+
+def test_names_of_parts():
+    """Names speak of furniture as a whole, not in part; main parts inside furniture stay, comments go."""
+    kept = ['<div class="content no-sidebar">text</div>', '<article class="post has-sidebar">text</article>', '<main><section id="social-science">text</section></main>', '<article><p class="share-prices">text</p></article>', '<div class="layout sidebar-left"><article>text</article></div>', '<div class="header"><main>text</main></div>']
+    gone = ['<div class="site-footer">text</div>', '<div id="cookieBanner">text</div>', '<div class="x ads-top">text</div>', '<article><div class="post-comments"><article>text</article></div></article>', '<div class="menu"><p>text</p></div>', '<nav><main>text</main></nav>']
+    assert [[t for t, p in html_extract.blocks(h) if p != html_extract.DROPPED] for h in kept] == [["text"]] * len(kept)
+    assert [[t for t, p in html_extract.blocks(h) if p != html_extract.DROPPED] for h in gone] == [[]] * len(gone)
+
+
+def test_deep_and_broken_markup_is_linear():
+    import time
+
+    begin = time.time()
+    for page in ("<div>" * 60000 + "</x>" * 60000 + "a", "<b>" + "<div>" * 60000 + "</b>" * 60000 + "a"):
+        assert html_extract.blocks(page) == [("a", html_extract.OPEN)]
+    assert time.time() - begin < 10
+
+
+def furniture(pages, window, support):
+    """Brute force: page -> text, by sets of windows of each host."""
+    parsed = [(i, html_extract.host_of(u), [x for x in html_extract.blocks(h or "") if x[1] != html_extract.DROPPED]) for i, u, h in pages]
+    seen = {}
+    for _, host, found in parsed:
+        page = tuple(t for t, _ in found)
+        for text, place in found:
+            w = text.split(" ")
+            keys = [("main", text)] if place == html_extract.MAIN else [tuple(w)] if len(w) < window else [tuple(w[a : a + window]) for a in range(len(w) - window + 1)]
+            for k in keys:
+                seen.setdefault((host, k), set()).add(page)
+    out = {}
+    for i, host, found in parsed:
+        kept, main = [], []
+        for text, place in found:
+            w = text.split(" ")
+            if place == html_extract.MAIN:
+                main.append(len(seen[host, ("main", text)]) < support)
+                kept.append((main[-1], True, text))
+                continue
+            size = min(window, len(w))
+            gone = {k for a in range(len(w) - size + 1) if len(seen[host, tuple(w[a : a + size])]) > 1 for k in range(a, a + size)}
+            if len(gone) < 0.8 * len(w):
+                kept.append((True, False, " ".join(x for k, x in enumerate(w) if k not in gone)))
+        out[i] = "\n\n".join(t for stays, m, t in kept if stays or m and not any(main))
+    return out
+
+
+def test_repeats_against_brute_force(spark):
+    """Random pages of a few hosts, whose blocks share words, phrases and whole parts."""
+    import random
+
+    r = random.Random(4)
+    phrases = [" ".join(r.choice("abcdefgh") for _ in range(r.randint(1, 14))) for _ in range(12)]
+    pages = []
+    for i in range(120):
+        parts = []
+        for _ in range(r.randint(0, 6)):
+            body = " ".join(r.choice(phrases) if r.random() < 0.5 else f"w{r.randint(0, 400)}" for _ in range(r.randint(1, 5)))
+            parts.append(f"<article><p>{body}</p></article>" if r.random() < 0.3 else f"<div>{body}</div>")
+        pages.append((i, f"http://host{i % 3}.x/{i}", "".join(parts)))
+    pages += [(200 + k, *pages[k][1:]) for k in range(6)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    for window in (4, 8):
+        got = {x.page_id: x.text for x in html_extract.extract(df, window=window).collect()}
+        assert got == furniture(pages, window, html_extract.SUPPORT)
+    through = html_extract.repeats(df.withColumnRenamed("page_id", "row").select("row", "url", "html"))
+    assert through.select("row").distinct().count() > 60
+
+
+def test_repeated_page_ids(spark):
+    pages = [(1, "http://a/", "<p>one page</p>"), (1, "http://a/", "<div>x</div><p>two</p><p>three</p>"), (None, "http://b/", "<p>null</p>"), (None, None, None), (2, "u", "")]
+    got = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert sorted(((r.page_id, r.text) for r in got), key=str) == sorted([(1, "one page"), (1, "x\n\ntwo\n\nthree"), (None, "null"), (None, ""), (2, "")], key=str)
