@@ -5,10 +5,12 @@ the markup says: main (inside article or main), dropped (navigation, headers, fo
 sidebars, notices, adverts, forms, comments, hidden parts) or open.
 
 Dropped blocks go. All others are judged by their host: a page's stream has the words of its open blocks, and each of its
-main blocks as one token, since what an article shares with another one in parts is still article text. The streams of a host's pages
+main blocks as one token, since what an article shares with another one in parts is still article text. Words: the streams of a host's pages
 are concatenated, their suffix array and its common prefixes are taken, and substrings of at least `window` words
-(a shorter block: all of it) that two different pages have are boilerplate; unique runs stay. A main block goes if `support` different pages have
-it; a page that would lose all its main blocks that way keeps them. Copies of a page (equal in all their blocks) count as one page.
+(a shorter block: all of it) that two different pages have are boilerplate; unique runs stay. A main block's token is a substring
+of its own, so its suffixes are counted by a grouping: the block goes if `support` different pages of the host and at least half of those with a main part have
+it, as furniture does and a licence line or a quoted passage does not. A page that would lose all its main blocks that way keeps them.
+Copies of a page (equal in all their blocks) count as one page.
 
 Streams are dealt to tasks by the minimisers of their windows, so no task holds a whole host: equal windows have equal
 minimisers. Equal pieces of one task travel once, and only as a mark if they are known to be repeated.
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .fm_index import suffix_array
 from .packed import bits_for
-from .shared import bounded_batches, cut, parts_of, with_row
+from .shared import bounded_batches, cut, parts_of, scratch, spread_join, with_row
 
 #: Tags by role.
 BLOCK_TAGS = frozenset(
@@ -203,8 +205,8 @@ def _blocks(batches):
         yield pa.record_batch([batch.column(c) for c in ("row", "page_id", "url")] + [pa.array(texts, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int32()))], names=["row", "page_id", "url", "blocks", "places"])
 
 
-#: Kinds of pieces: words of an open block, an open block of fewer words than a window, a main block.
-LONG, SHORT, WHOLE = 0, 1, 2
+#: Kinds of pieces: words of an open block, an open block of fewer words than a window.
+LONG, SHORT = 0, 1
 #: Pieces of a bucket: kind and tokens, the different pages that have it (int64 digests), its places (row, block, first word, number of words); without places it is a mark.
 PIECES_SCHEMA = "part int, pieces array<binary>, pages array<binary>, places array<binary>, done binary"
 _PIECES = pa.schema([("part", pa.int32()), ("pieces", pa.list_(pa.binary())), ("pages", pa.list_(pa.binary())), ("places", pa.list_(pa.binary())), ("done", pa.binary())])
@@ -218,21 +220,40 @@ def _text_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return w.hashes()
 
 
-def _pieces_of(texts: list[str], places: list[int], host: np.ndarray, window: int):
-    """(kind, block, first word, number of words, bucket hash, bytes) of the pieces of some blocks; host: a hash for each block."""
+class Pages:
+    """Blocks of some pages, with a hash for each block's host and for each page's content."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.texts, places, self.row, self.number, host, page = [], [], [], [], [], []
+        for row, url, value in zip(*(batch.column(c) for c in ("row", "url", "html")), strict=True):
+            found = [x for x in blocks(value.as_py() or "") if x[1] != DROPPED]
+            if not found:
+                continue
+            name = int.from_bytes(hashlib.blake2b(host_of(url.as_py()).encode(), digest_size=8).digest(), "little")
+            content = int.from_bytes(hashlib.blake2b("\n".join(t for t, _ in found).encode(), digest_size=8).digest(), "little")
+            self.texts += [t for t, _ in found]
+            places += [p for _, p in found]
+            self.number += range(len(found))
+            self.row += [row.as_py()] * len(found)
+            host += [name] * len(found)
+            page += [content] * len(found)
+        self.main = np.array(places, np.int64) == MAIN
+        self.host, self.page = np.array(host, np.uint64), np.array(page, np.uint64).view(np.int64)
+
+
+def _pieces_of(texts: list[str], host: np.ndarray, window: int):
+    """(block, first word, number of words, bucket hash, kind and tokens) of the pieces of some open blocks; host: a hash for each block."""
     data, offsets = K.buffers(pa.array(texts, pa.large_string()))
     whole = K.mix(_text_hashes(data, offsets) ^ host)
-    main = np.array(places) == MAIN
     w = K.Words(data, offsets, K.SPACE_SEPARATED)
     n = w.counts
-    for b in np.flatnonzero(main | (n < window)).tolist():
-        kind = WHOLE if main[b] else SHORT
-        yield kind, b, 0, int(n[b]), int(whole[b]), bytes([kind]) + whole[b].tobytes()
+    for b in np.flatnonzero(n < window).tolist():
+        yield b, 0, int(n[b]), int(whole[b]), bytes([SHORT]) + whole[b].tobytes()
     token = K.mix(w.hashes() ^ host[w.row])
     m = window // 2
     low = K.sliding_min(K.windows(token, m), window - m + 1)
     row = w.row[: len(low)]
-    ok = K.inside(w.first, len(token), window) & ~main[row]
+    ok = K.inside(w.first, len(token), window)
     opens = np.ones(len(low), bool)
     opens[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1]) | ~ok[:-1]
     edge = np.flatnonzero(opens | ~ok)
@@ -240,11 +261,11 @@ def _pieces_of(texts: list[str], places: list[int], host: np.ndarray, window: in
     after = np.append(edge, len(low))[np.searchsorted(edge, at, "right")]
     small = (token & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     for a, e, b in zip(at.tolist(), (after + window - 1).tolist(), row[at].tolist(), strict=True):
-        yield LONG, b, a - int(w.first[b]), e - a, int(low[a]), bytes([LONG]) + small[a:e].tobytes()
+        yield b, a - int(w.first[b]), e - a, int(low[a]), bytes([LONG]) + small[a:e].tobytes()
 
 
-def _pieces(bits: int, window: int, support: int):
-    """Pieces of open and main blocks, cut where their windows' minimisers change."""
+def _pieces(bits: int, window: int):
+    """Pieces of open blocks, cut where their windows' minimisers change."""
     mask = (1 << bits) - 1
 
     def emit(held: dict):
@@ -252,7 +273,7 @@ def _pieces(bits: int, window: int, support: int):
         done: list[bytes] = []
         for piece, (part, pages, *at) in held.items():
             to = by_part.setdefault(part, ([], [], []))
-            known = len(pages) >= (support if piece[0] == WHOLE else 2)
+            known = len(pages) > 1
             to[0].append(piece)
             to[1].append(b"" if known else np.array(sorted(pages), np.int64).tobytes())
             places = np.array(at, np.int64).tobytes()
@@ -270,39 +291,21 @@ def _pieces(bits: int, window: int, support: int):
     def run(batches):
         held: dict[bytes, list] = {}
         room = GATHERED
-        hosts: dict[str, int] = {}
         for batch in batches:
-            ids, texts, places, owner, number, host, page = [], [], [], [], [], [], []
-            for row, url, value in zip(*(batch.column(c) for c in ("row", "url", "html")), strict=True):
-                found = [x for x in blocks(value.as_py() or "") if x[1] != DROPPED]
-                if not found:
-                    continue
-                name = host_of(url.as_py())
-                if name not in hosts:
-                    if len(hosts) > 100_000:
-                        hosts.clear()
-                    hosts[name] = int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little")
-                digest = hashlib.blake2b("\n".join(t for t, _ in found).encode(), digest_size=8).digest()
-                content = int.from_bytes(digest, "little", signed=True)
-                ids.append(row.as_py())
-                for b, (t, p) in enumerate(found):
-                    texts.append(t)
-                    places.append(p)
-                    owner.append(len(ids) - 1)
-                    number.append(b)
-                    host.append(hosts[name])
-                    page.append(content)
-            if not texts:
+            p = Pages(batch)
+            use = np.flatnonzero(~p.main).tolist()
+            if not use:
                 continue
-            for _, b, start, n, key, piece in _pieces_of(texts, places, np.array(host, np.uint64), window):
+            for k, start, n, key, piece in _pieces_of([p.texts[b] for b in use], p.host[use], window):
+                b = use[k]
                 had = held.get(piece)
                 if had is None:
-                    held[piece] = [key & mask, {page[b]}, ids[owner[b]], number[b], start, n]
+                    held[piece] = [key & mask, {int(p.page[b])}, p.row[b], p.number[b], start, n]
                     room -= len(piece) + 400
                 else:
-                    if len(had[1]) < support:
-                        had[1].add(page[b])
-                    had += (ids[owner[b]], number[b], start, n)
+                    if len(had[1]) < 2:
+                        had[1].add(int(p.page[b]))
+                    had += (p.row[b], p.number[b], start, n)
                     room -= 32
             if room < 0:
                 yield from emit(held)
@@ -367,8 +370,18 @@ def repeated_runs(streams: list[np.ndarray], page: np.ndarray, known: np.ndarray
     return s, opens - at[s], closes - opens + window - 1
 
 
-def _repeated(window: int, support: int):
-    """(row, spans): spans of a bucket's pieces that enough different pages have; words by the suffix array of their streams."""
+def _main_tokens(batches):
+    """(host, token, page, row, block) of main blocks: hashes of the host, the block and the page's content."""
+    for batch in batches:
+        p = Pages(batch)
+        use = np.flatnonzero(p.main)
+        data, offsets = K.buffers(pa.array([p.texts[b] for b in use.tolist()], pa.large_string()))
+        token = K.mix(_text_hashes(data, offsets) ^ p.host[use]) if len(use) else np.empty(0, np.uint64)
+        yield pa.record_batch([pa.array(p.host[use].view(np.int64)), pa.array(token.view(np.int64)), pa.array(p.page[use]), pa.array([p.row[b] for b in use], pa.int64()), pa.array([p.number[b] for b in use], pa.int32())], names=["host", "token", "page", "row", "block"])
+
+
+def _repeated(window: int):
+    """(row, spans): spans of a bucket's pieces that different pages have, by the suffix array of their streams."""
 
     def run(table: pa.Table) -> pa.Table:
         out = [np.frombuffer(b"".join(v.as_py() or b"" for v in table.column("done")), np.int64).reshape(-1, 4)]
@@ -387,8 +400,8 @@ def _repeated(window: int, support: int):
                 had[0].update(np.frombuffer(page, np.int64).tolist())
                 had[1] |= not page
                 had[2].append(place)
-        for piece, (seen, sure, at) in found.items():
-            if sure or len(seen) >= (support if piece[0] == WHOLE else 2):
+        for seen, sure, at in found.values():
+            if sure or len(seen) > 1:
                 out.append(np.frombuffer(b"".join(at), np.int64).reshape(-1, 4))
         if streams:
             s, start, n = repeated_runs(streams, np.array(pages, np.int64), np.array(known, bool), window)
@@ -406,14 +419,14 @@ def _joined(share: float):
     def run(batches):
         for batch in batches:
             texts = []
-            for found, places, spans in zip(*(batch.column(c).to_pylist() for c in ("blocks", "places", "spans")), strict=True):
+            for found, places, spans, furniture in zip(*(batch.column(c).to_pylist() for c in ("blocks", "places", "spans", "furniture")), strict=True):
                 span = np.frombuffer(b"".join(spans or ()), np.int32).reshape(-1, 3).astype(np.int64)
                 kept, main = [], []
                 for b, (text, place) in enumerate(zip(found, places, strict=True)):
                     own = span[span[:, 0] == b]
                     if place == MAIN:
-                        main.append(not len(own))
-                        kept.append((not len(own), MAIN, text))
+                        main.append(b not in (furniture or ()))
+                        kept.append((main[-1], MAIN, text))
                     elif not len(own):
                         kept.append((True, OPEN, text))
                     else:
@@ -428,11 +441,21 @@ def _joined(share: float):
     return run
 
 
-def repeats(pages: DataFrame, window: int = WINDOW, support: int = SUPPORT) -> DataFrame:
-    """(row, spans) of pages(row, url, html): packed (block, first word, number of words) that other pages of the host have too."""
+def repeats(pages: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(row, spans) of pages(row, url, html): packed (block, first word, number of words) of open blocks that other pages of the host have too."""
     bits = bits_for(parts_of(pages, 16, 2))
-    pieces = pages.mapInArrow(_pieces(bits, window, support), PIECES_SCHEMA)
-    return pieces.groupBy("part").applyInArrow(_repeated(window, support), "row long, spans binary")
+    pieces = pages.mapInArrow(_pieces(bits, window), PIECES_SCHEMA)
+    return pieces.groupBy("part").applyInArrow(_repeated(window), "row long, spans binary")
+
+
+def main_furniture(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(row, block) of main blocks of pages(row, url, html) that `support` pages and half of the host's pages have."""
+    with scratch():
+        tokens = cut(pages.mapInArrow(_main_tokens, "host long, token long, page long, row long, block int"), "tokens")
+        total = tokens.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("total"))
+        times = tokens.groupBy("host", "token", "page").agg(F.count(F.lit(1)).alias("c")).groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), F.sum("c").alias("rows"))
+        gone = times.where(F.col("pages") >= support).join(total, "host").where("2 * pages >= total").select("token", "rows")
+        return cut(spread_join(tokens.select("token", "row", "block"), cut(gone, "furniture"), "token", "rows").select("row", "block"), "main_furniture", keep=True)
 
 
 def extract(pages: DataFrame, window: int = WINDOW, share: float = 0.8, support: int = SUPPORT) -> DataFrame:
@@ -440,7 +463,9 @@ def extract(pages: DataFrame, window: int = WINDOW, share: float = 0.8, support:
     bounded_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     pages = with_row(pages, "page_id", "html", "row")
-    spans = cut(repeats(pages.select("row", "url", "html"), window, support), "spans", keep=True)
-    spans = spans.groupBy("row").agg(F.collect_list("spans").alias("spans"))
+    slim = pages.select("row", "url", "html")
+    spans = cut(repeats(slim, window), "spans", keep=True).groupBy("row").agg(F.collect_list("spans").alias("spans"))
+    main = main_furniture(slim, support).groupBy("row").agg(F.collect_list("block").alias("furniture"))
     parsed = pages.mapInArrow(_blocks, "row long, page_id long, url string, blocks array<string>, places array<int>")
-    return parsed.join(spans, "row", "left").select("page_id", "url", "blocks", "places", "spans").mapInArrow(_joined(share), "page_id long, url string, text string, n_chars long")
+    judged = parsed.join(spans.join(main, "row", "full"), "row", "left").select("page_id", "url", "blocks", "places", "spans", "furniture")
+    return judged.mapInArrow(_joined(share), "page_id long, url string, text string, n_chars long")
