@@ -10,8 +10,9 @@ with the folded weights.
 
 The model is fitted on the driver from a sample of at most about `per_label`
 texts of each language (a documented bound), chosen by a hash of doc_id. There is no
-other bound: sampled texts are whole, however long and in however many languages. Scoring
-covers every whole text of every row.
+other bound: sampled texts are whole, however long and in however many languages. What reaches the driver is
+each text's set of n-grams, made where the text lies and of 32 KB at most, so it holds per_label * 32 KB
+a language at most. Scoring covers every whole text of every row.
 
 Defined results: null text or a text without a letter -> `und`, score 0. With
 no labelled text everything is `und`. Extra columns are ignored; an empty
@@ -47,32 +48,42 @@ def _grams(data: np.ndarray, offsets: np.ndarray):
         yield slot[ok], row[: len(code)][ok]
 
 
-def _parts(data: np.ndarray, offsets: np.ndarray, rows: int = 256):
-    """(data, offsets) of at most `rows` rows and about K.CHUNK_BYTES at a time, so that long texts need no more memory at once."""
-    for i, j in K.chunks(offsets):
-        for a in range(i, j, rows):
-            ends = offsets[a : min(j, a + rows) + 1]
-            yield data[ends[0] : ends[-1]], ends - ends[0]
+def gram_set(data: np.ndarray) -> bytes:
+    """The slots of one text's n-grams: as numbers, or as a bitmap where that is smaller."""
+    seen = np.zeros(_SLOTS, bool)
+    for part, ends in _slices(data):
+        for slot, _ in _grams(part, ends):
+            seen[slot] = True
+    slots = np.flatnonzero(seen).astype(np.uint32)
+    return slots.tobytes() if 4 * len(slots) < _SLOTS // 8 else np.packbits(seen).tobytes()
+
+
+def _slices(data: np.ndarray):
+    """A text in slices that overlap by two bytes, so that each of its n-grams lies in one."""
+    for i in range(0, max(1, len(data) - 2), K.CHUNK_BYTES):
+        part = data[i : i + K.CHUNK_BYTES + 2]
+        yield part, np.array([0, len(part)])
+
+
+def slots_of(grams: bytes) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(grams, np.uint8))) if len(grams) == _SLOTS // 8 else np.frombuffer(grams, np.uint32).astype(np.int64)
 
 
 class Model:
-    """Fitted on (text, label) pairs; plain arrays only, so that it can be broadcast."""
+    """Fitted on (n-gram set, label) pairs; plain arrays only, so that it can be broadcast."""
 
-    def __init__(self, texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
+    def __init__(self, grams: list[bytes], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
         self.labels = sorted(set(labels))
-        n = len(texts)
+        n = len(grams)
         spread = np.linspace(0, n - 1, min(landmarks, n)).astype(int) if n else np.empty(0, int)
         by_label = sorted(range(n), key=lambda i: labels[i])
         marks = [by_label[i] for i in spread]
-        data, offsets = K.buffers(pa.array([texts[i] for i in marks], pa.large_string()))
-        known = np.empty(0, np.int64)
-        for part, ends in _parts(data, offsets):
-            known = np.unique(np.concatenate([known, *(np.unique(s) for s, _ in _grams(part, ends))]))
+        known = np.unique(np.concatenate([np.empty(0, np.int64), *(slots_of(grams[i]) for i in marks)]))
         self.width = len(known)
         self.column = np.full(_SLOTS, self.width, np.int32)
         self.column[known] = np.arange(self.width)
         self.weights = np.zeros((0, max(1, len(self.labels))), np.float32)
-        x = np.concatenate([np.zeros((0, self.width), np.float32), *(self._features(*part) for part in _parts(data, offsets))])
+        x = self._features([grams[i] for i in marks])
         self.marks = x / np.sqrt(np.maximum(1, x.sum(1)))[:, None]
         if not n:
             return
@@ -80,10 +91,7 @@ class Model:
         value, vector = np.linalg.eigh(kernel)
         keep = value > 1e-6 * value.max()
         whiten = vector[:, keep] / np.sqrt(value[keep])
-        rows = []
-        data, offsets = K.buffers(pa.array(texts, pa.large_string()))
-        for part in _parts(data, offsets):
-            rows.append(self._kernel(self._features(*part)))
+        rows = [kernel_to(self._features(grams[i : i + 256]), self.marks) for i in range(0, n, 256)]
         phi = np.concatenate(rows).astype(np.float64) @ whiten
         phi = np.hstack([phi, np.ones((n, 1))])
         target = np.array([[1.0 if y == k else 0.0 for k in self.labels] for y in labels])
@@ -93,11 +101,11 @@ class Model:
         beta = np.linalg.solve(a, phi.T @ (target * weight[:, None]))
         self.weights, self.bias = (whiten @ beta[:-1]).astype(np.float32), beta[-1].astype(np.float32)
 
-    def _features(self, data, offsets):
-        return presence(data, offsets, self.column, self.width)
-
-    def _kernel(self, x):
-        return kernel_to(x, self.marks)
+    def _features(self, grams: list[bytes]) -> np.ndarray:
+        x = np.zeros((len(grams), self.width + 1), np.float32)
+        for row, g in zip(x, grams, strict=True):
+            row[self.column[slots_of(g)]] = 1
+        return x[:, : self.width]
 
 
 def presence(data: np.ndarray, offsets: np.ndarray, column: np.ndarray, width: int) -> np.ndarray:
@@ -138,24 +146,40 @@ def _score(model, keep: list[str]):
     return run
 
 
-def sample(labelled: DataFrame, per_label: int = PER_LABEL) -> list[tuple[str, str]]:
-    """About per_label (text, label) rows of each label at most, least hashes of doc_id first; whole texts."""
+def chosen(labelled: DataFrame, per_label: int) -> DataFrame | None:
+    """(key, doc_id, text, lang) of about per_label rows of each label at most: those of the least hashes of doc_id."""
     key = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(1 << 30))
     n = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not n:
-        return []
+        return None
     rows = labelled.withColumn("key", key)
     limit = F.lit(0)
     for lang, c in sorted(n.items()):
         limit = F.when(F.col("lang") == lang, F.lit(int(min(1.0, per_label / c) * (1 << 30)))).otherwise(limit)
-    taken = rows.where(F.col("key") < limit).select("key", "doc_id", "text", "lang")
-    return [(r["text"], r["lang"]) for r in sorted(taken.toLocalIterator(), key=lambda r: (r["key"], str(r["doc_id"])))]
+    return rows.where(F.col("key") < limit).select("key", "doc_id", "text", "lang")
+
+
+def sample(labelled: DataFrame, per_label: int = PER_LABEL) -> list[tuple[str, str]]:
+    """The sampled (text, label) rows themselves, least hashes of doc_id first; whole texts."""
+    taken = chosen(labelled, per_label)
+    return [] if taken is None else [(r["text"], r["lang"]) for r in sorted(taken.toLocalIterator(), key=lambda r: (r["key"], str(r["doc_id"])))]
+
+
+def _gram_sets(batches):
+    for batch in batches:
+        data, offsets = K.buffers(batch.column("text"))
+        sets = [gram_set(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        yield pa.record_batch([batch.column("key"), batch.column("doc_id"), batch.column("lang"), pa.array(sets, pa.binary())], names=["key", "doc_id", "lang", "grams"])
 
 
 def fit(labelled: DataFrame, per_label: int = PER_LABEL, landmarks: int = LANDMARKS):
     """labelled(doc_id, text, lang) -> broadcast model; only text and lang are learnt from."""
-    pairs = sample(labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null"), per_label)
-    model = vars(Model([t for t, _ in pairs], [y for _, y in pairs], landmarks))
+    bounded_batches(labelled.sparkSession)
+    slim = labelled.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
+    taken = chosen(slim, per_label)
+    rows = [] if taken is None else taken.mapInArrow(_gram_sets, "key long, doc_id string, lang string, grams binary").collect()
+    rows = sorted(rows, key=lambda r: (r["key"], str(r["doc_id"]), r["grams"]))
+    model = vars(Model([bytes(r["grams"]) for r in rows], [r["lang"] for r in rows], landmarks))
     return labelled.sparkSession.sparkContext.broadcast(model)
 
 

@@ -213,3 +213,65 @@ def test_language_sample_has_no_other_bound(spark):
     docs = spark.range(20, numPartitions=4).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 3, F.repeat(F.lit("word "), 13 << 20)).otherwise(F.lit("le la et")).alias("text"), F.when(F.col("id") == 3, "en").otherwise("fr").alias("lang"))
     got = language_id.sample(docs)
     assert sorted((lang, len(t)) for t, lang in got) == [("en", 65 << 20)] + [("fr", 8)] * 19
+
+
+def test_pieces_of_the_model(spark):
+    """Whole documents with the model file: exact round trips through the decoding operator, scores that are log-probabilities, and how far the best path agrees with the library."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.MODEL)
+    model = sentence_pieces.read_model()
+    assert np.exp(model["scores"]).sum() == pytest.approx(1)
+    english = "The house is small and the old garden behind it was never sold. They said that many people would like to read about this other place before winter."
+    docs = [(1, english, 0.5), (1, english, 0.5), (2, None, 1.0), (3, "", 1.0), (4, "naïve 日本 \U0001f600\n\n  ▁ x" * 50, 2.0), (5, "word " * 50000, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, score double")
+    got = sentence_pieces.encode(df, keep=("doc_id", "score"), with_ids=True, with_n_best=True)
+    assert got.columns == ["doc_id", *sentence_pieces.OUTPUTS]
+    rows = got.collect()
+    assert len(rows) == len(docs) and all(r.round_trip for r in rows)
+    assert sorted(r.text for r in sentence_pieces.decode_ids(got).collect()) == sorted(t or "" for _, t, _ in docs)
+    v = sentence_pieces.Vocabulary(model)
+    for r in rows:
+        assert r.n_best_ids[0] == r.ids and len({tuple(x) for x in r.n_best_ids}) == r.n_best
+        assert {sentence_pieces.decode_text(v, x) if x else "" for x in r.n_best_ids} == {sentence_pieces.decode_text(v, r.ids) if r.ids else ""}
+    words = english.split()
+    e = sentence_pieces.Encoded(v, *kernel.buffers(pa.array(words)))
+    same = [e.ids[a:b].tolist() == sp.encode(w) for w, a, b in zip(words, e.id_first[:-1], e.id_first[1:], strict=True)]
+    assert sum(same) >= 0.9 * len(words)
+    assert len(next(r for r in rows if r.doc_id == 1).ids) <= 1.1 * len(sp.encode(english))
+    assert sentence_pieces.encode(df.limit(0)).collect() == []
+
+
+def test_kernel_model_against_sets(spark):
+    """The presence kernel by Python sets gives the same scores; a text in slices has the n-grams of the whole."""
+    texts = [" ".join((a * k + b)[:9] for k in range(1, 9)) for a in ("la", "der", "the") for b in ("x", "ying", "é")]
+    labels = ["fr"] * 3 + ["de"] * 3 + ["en"] * 3
+
+    def grams(t):
+        raw = t.encode().lower()
+        return {raw[i : i + n] for n in (1, 2, 3) for i in range(len(raw) - n + 1)}
+
+    sets = [language_id.gram_set(np.frombuffer(t.encode(), np.uint8)) for t in texts]
+    assert [len(language_id.slots_of(s)) for s in sets] == [len(grams(t)) for t in texts]
+    m = language_id.Model(sets, labels)
+    known = set().union(*map(grams, texts))
+    data, offsets = kernel.buffers(pa.array(texts))
+    got = language_id.kernel_to(language_id.presence(data, offsets, m.column, m.width), m.marks)
+    order = sorted(range(len(texts)), key=lambda i: labels[i])
+    want = [[len(grams(x) & grams(texts[k]) & known) / (len(grams(x) & known) * len(grams(texts[k]))) ** 0.5 for k in order] for x in texts]
+    assert np.allclose(got, want, atol=1e-5)
+    long = np.frombuffer(("abc xyz " * (kernel.CHUNK_BYTES // 4)).encode(), np.uint8)
+    assert language_id.gram_set(long) == language_id.gram_set(long[:64])
+
+
+def test_contamination_blocks_and_repeated_rows(spark, monkeypatch):
+    """Several passes give what one pass gives, with repeated and null ids and columns of any name."""
+    docs = [(1, "a " + prose(90, 12) + " b " + prose(91, 15), 3), (1, "z " + prose(91, 15), 4), (None, prose(92, 11), 5), (2, None, 6), (3, "", 7), (4, "word " * 30000 + prose(93, 10), 8)]
+    bench = [(i, prose(90 + i, 11 + i)) for i in range(6)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, spans int").withColumnRenamed("spans", "row")
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    key = lambda r: str(tuple(r))
+    one = sorted(decontaminate.contamination(df, b).collect(), key=key), sorted(decontaminate.decontaminate(df, b).collect(), key=key)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
+    assert (sorted(decontaminate.contamination(df, b).collect(), key=key), sorted(decontaminate.decontaminate(df, b).collect(), key=key)) == one
+    assert [r.n_hit for r in one[0] if r.doc_id == 1] == [12, 23] and len(one[0]) == len(docs)
