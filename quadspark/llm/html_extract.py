@@ -225,16 +225,15 @@ class Pages:
 
     def __init__(self, batch: pa.RecordBatch):
         self.texts, places, self.row, self.number, host, page = [], [], [], [], [], []
-        for row, url, value in zip(*(batch.column(c) for c in ("row", "url", "html")), strict=True):
-            found = [x for x in blocks(value.as_py() or "") if x[1] != DROPPED]
+        for row, url, found, place in zip(*(batch.column(c).to_pylist() for c in ("row", "url", "blocks", "places")), strict=True):
             if not found:
                 continue
-            name = int.from_bytes(hashlib.blake2b(host_of(url.as_py()).encode(), digest_size=8).digest(), "little")
-            content = int.from_bytes(hashlib.blake2b("\n".join(t for t, _ in found).encode(), digest_size=8).digest(), "little")
-            self.texts += [t for t, _ in found]
-            places += [p for _, p in found]
+            name = int.from_bytes(hashlib.blake2b(host_of(url).encode(), digest_size=8).digest(), "little")
+            content = int.from_bytes(hashlib.blake2b("\n".join(found).encode(), digest_size=8).digest(), "little")
+            self.texts += found
+            places += place
             self.number += range(len(found))
-            self.row += [row.as_py()] * len(found)
+            self.row += [row] * len(found)
             host += [name] * len(found)
             page += [content] * len(found)
         self.main = np.array(places, np.int64) == MAIN
@@ -441,15 +440,20 @@ def _joined(share: float):
     return run
 
 
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """(row, page_id, url, blocks, places) of pages(row, page_id, url, html), parsed once."""
+    return cut(pages.mapInArrow(_blocks, "row long, page_id long, url string, blocks array<string>, places array<int>"), "blocks", keep=True)
+
+
 def repeats(pages: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(row, spans) of pages(row, url, html): packed (block, first word, number of words) of open blocks that other pages of the host have too."""
+    """(row, spans) of parsed pages: packed (block, first word, number of words) of open blocks that other pages of the host have too."""
     bits = bits_for(parts_of(pages, 16, 2))
     pieces = pages.mapInArrow(_pieces(bits, window), PIECES_SCHEMA)
     return pieces.groupBy("part").applyInArrow(_repeated(window), "row long, spans binary")
 
 
 def main_furniture(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(row, block) of main blocks of pages(row, url, html) that `support` pages and half of the host's pages have."""
+    """(row, block) of main blocks of parsed pages that `support` pages and half of the host's pages have."""
     with scratch():
         tokens = cut(pages.mapInArrow(_main_tokens, "host long, token long, page long, row long, block int"), "tokens")
         total = tokens.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("total"))
@@ -463,9 +467,8 @@ def extract(pages: DataFrame, window: int = WINDOW, share: float = 0.8, support:
     bounded_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     pages = with_row(pages, "page_id", "html", "row")
-    slim = pages.select("row", "url", "html")
-    spans = cut(repeats(slim, window), "spans", keep=True).groupBy("row").agg(F.collect_list("spans").alias("spans"))
-    main = main_furniture(slim, support).groupBy("row").agg(F.collect_list("block").alias("furniture"))
-    parsed = pages.mapInArrow(_blocks, "row long, page_id long, url string, blocks array<string>, places array<int>")
+    parsed = parsed_pages(pages)
+    spans = cut(repeats(parsed, window), "spans", keep=True).groupBy("row").agg(F.collect_list("spans").alias("spans"))
+    main = main_furniture(parsed, support).groupBy("row").agg(F.collect_list("block").alias("furniture"))
     judged = parsed.join(spans.join(main, "row", "full"), "row", "left").select("page_id", "url", "blocks", "places", "spans", "furniture")
     return judged.mapInArrow(_joined(share), "page_id long, url string, text string, n_chars long")

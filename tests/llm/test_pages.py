@@ -178,7 +178,7 @@ def test_repeats_against_brute_force(spark):
         got = {x.page_id: x.text for x in html_extract.extract(df, window=window).collect()}
         assert got == furniture(pages, window, html_extract.SUPPORT)
         assert (got[300], got[301]) == ("body 0\n\na line of some", "body 1")
-    through = html_extract.repeats(df.withColumnRenamed("page_id", "row").select("row", "url", "html"))
+    through = html_extract.repeats(html_extract.parsed_pages(df.withColumn("row", df.page_id)))
     assert through.select("row").distinct().count() > 60
 
 
