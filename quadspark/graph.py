@@ -19,7 +19,7 @@ from .plans import algebra as A
 from .plans.explain import plan
 from .plans.parser import ParseError, fresh_blank, parse_query, parse_update
 from .sources import ntriples as N
-from .store import QuadStore, bare, in_graph, local_df
+from .store import QuadStore, bare, in_graph, local_df, pin
 
 _SCOPE = {"data": "graph"}
 OMITTED = object()
@@ -182,15 +182,25 @@ class Graph:
 
     def _bulk(self, rows, word: str, raw: bool) -> dict:
         write = self.store.insert if word == "inserted" else self.store.delete
+        where = "added" if word == "inserted" else "retracted"
         if isinstance(rows, DataFrame):
-            return {"ok": True, word: write(rows)}
+            checked = sound(rows)
+            n = write(checked)
+            changeset.notify_frame(where, checked)
+            return {"ok": True, word: n}
         found = [quad(r, k, raw) for k, r in enumerate(rows or [], 1)]
         if not found:
             return {"ok": True, word: 0}
         n = write(self.store.rows(found))
-        changeset.notify("added" if word == "inserted" else "retracted", found)
+        changeset.notify(where, found)
         return {"ok": True, word: n}
 
+    @guarded
+    def insert_sql(self, text: str) -> dict:
+        """Inserts the rows of a SQL query with columns s, p, o and graph (canonical terms; graph without brackets or null)."""
+        rows = self.spark.sql(text)
+        return self._bulk(rows.select("s", "p", "o", F.col("graph").cast("string").alias("g")), "inserted", True)
+
     quoted_triple = staticmethod(T.quoted_triple)
 
     # text
@@ -207,6 +217,21 @@ class Graph:
         self.store.quads.withColumnRenamed("g", "graph").createOrReplaceTempView(name)
 
 
+def sound(rows: DataFrame) -> DataFrame:
+    """rows (s, p, o[, g]) as a written table, or a refusal that names the first one that is not a quad of canonical terms."""
+    if "g" not in rows.columns:
+        rows = rows.withColumn("g", F.lit(None).cast("string"))
+    s, p, o, g = (F.col(c) for c in ("s", "p", "o", "g"))
+    good = (T.is_iri(s) | T.is_blank(s) | T.is_quoted(s)) & T.is_iri(p) & (T.c_kind(o) != "unknown") & ~F.coalesce(T.is_blank(g), F.lit(False))
+    numbered = pin(rows.select("s", "p", "o", "g", F.monotonically_increasing_id().alias("n"), (~F.coalesce(good, F.lit(False))).alias("bad")))
+    first = numbered.where("bad").orderBy("n").limit(1).collect()
+    if first:
+        row = first[0]
+        number = numbered.where(F.col("n") < row["n"]).count() + 1
+        raise InvalidRequest(f"row {number}: not a quad: {row['s']} {row['p']} {row['o']} {row['g'] or ''}")
+    return numbered.select("s", "p", "o", "g")
+
+
 def quad(row: Any, number: int, raw: bool = False) -> tuple:
     """A bulk row (mapping or sequence of 3 or 4) as canonical terms. raw: terms are N-Triples already."""
     try:

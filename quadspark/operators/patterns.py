@@ -39,6 +39,21 @@ class Dataset:
     named: tuple | None = None
 
 
+#: Joins with more possibly unbound shared variables are made by one condition.
+MOST_OPEN = 4
+
+
+def _by_bound(df: DataFrame, columns: dict[str, str]):
+    """(bound variables, their rows) for each way in which the columns can be bound."""
+    names = list(columns)
+    for k in range(1 << len(names)):
+        bound = [v for i, v in enumerate(names) if k >> i & 1]
+        rows = df
+        for v in names:
+            rows = rows.where(F.col(columns[v]).isNotNull() if v in bound else F.col(columns[v]).isNull())
+        yield bound, rows
+
+
 class Compiler:
     def __init__(self, store: QuadStore, dataset: Dataset = Dataset(), quads: DataFrame | None = None, extra: dict[str, DataFrame] | None = None):
         self.store, self.dataset = store, dataset
@@ -204,6 +219,20 @@ class Compiler:
         reached = edges if s is None else edges.where(F.col("s") == s)
         fresh = reached
         names = ["s", "o", *keep]
+
+        def beyond(first: DataFrame, then: DataFrame) -> DataFrame:
+            more = then.select(F.col("s").alias("m"), F.col("o").alias("e"), *(F.col(g).alias("h") for g in keep))
+            on = (F.col("o") == F.col("m")) & (F.col("g") == F.col("h") if keep else F.lit(True))
+            return first.join(more, on).select("s", F.col("e").alias("o"), *keep)
+
+        if s is None:
+            # no end is known: path lengths double each round, so a chain of n takes log n rounds
+            while not fresh.isEmpty():
+                far = beyond(fresh, reached).unionByName(beyond(reached, fresh)).distinct()
+                old = reached.select(*(F.col(c).alias("r_" + c) for c in names))
+                fresh = pin(far.join(old, [F.col(c) == F.col("r_" + c) for c in names], "left_anti"))
+                reached = pin(reached.unionByName(fresh))
+            return reached
         while not fresh.isEmpty():
             on = (F.col("o") == F.col("m")) & (F.col("g") == F.col("h") if keep else F.lit(True))
             far = fresh.join(step, on).select("s", F.col("e").alias("o"), *keep).distinct()
@@ -238,7 +267,18 @@ class Compiler:
             # nothing is shared: the pattern itself is a product
             names = [column(v) for v in [*left.vars, *right.vars]]
             return Solutions(left.df.crossJoin(df).select(*names) if names else left.df.select("u__").crossJoin(df.select()), left.vars | right.vars)
-        return self._merged(left.df.join(df, condition), left, right, shared, inner=True)
+        # where a shared variable can be unbound, rows are dealt by which of them are bound: each part is an equi-join
+        open_left = [v for v in shared if not left.vars[v]]
+        open_right = [v for v in shared if not right.vars[v]]
+        if not open_left and not open_right or len(open_left) + len(open_right) > MOST_OPEN:
+            return self._merged(left.df.join(df, condition), left, right, shared, inner=True)
+        out = None
+        for bound_left, own in _by_bound(left.df, {v: column(v) for v in open_left}):
+            for bound_right, other in _by_bound(df, {v: column(v) + "__r" for v in open_right}):
+                both = [v for v in shared if (left.vars[v] or v in bound_left) and (right.vars[v] or v in bound_right)]
+                part = own.join(other, [F.col(column(v)) == F.col(column(v) + "__r") for v in both]) if both else own.crossJoin(other)
+                out = part if out is None else out.unionByName(part)
+        return self._merged(out, left, right, shared, inner=True)
 
     def _merged(self, df: DataFrame, left: Solutions, right: Solutions, shared: list[str], inner: bool) -> Solutions:
         out, certain = [], {}

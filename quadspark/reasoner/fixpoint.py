@@ -182,7 +182,8 @@ def materialise_incremental(graph: Graph, asserted: str | None = None, inferred:
         return R.refused(R.CHANGESET_SCOPE_MISMATCH, f"the change set is about {changes.scope.data!r}, not {asserted!r}")
     if dependency_index not in ("sparql", "native", "auto"):
         return R.refused(R.INVALID_DSL, "dependency_index is sparql, native or auto")
-    deleted = over_delete(graph, inferred, changes.retracted)
+    frames = getattr(changes, "retracted_frames", None)
+    deleted = over_delete(graph, inferred, changes.frame("retracted") if frames else changes.retracted)
     before = graph.store.size(inferred)
     again = run(graph, asserted, inferred, rule_set, provenance, max_iterations, mode)
     if not again["ok"]:

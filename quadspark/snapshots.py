@@ -40,6 +40,22 @@ def snapshots(graph: Graph, base: str) -> dict:
     return {"ok": True, "snapshots": [r.asDict() for r in _manifest(graph, base).orderBy("created").collect()]}
 
 
+@guarded
+def prune(graph: Graph, base: str, keep: int) -> dict:
+    """Deletes all but the latest `keep` snapshots."""
+    rows = [r.asDict() for r in _manifest(graph, base).orderBy("created").collect()]
+    gone, left = rows[: max(0, len(rows) - keep)], rows[max(0, len(rows) - keep) :]
+    if gone:
+        # the new manifest comes first, then the old one goes, so that none is missing at any time
+        files = graph.spark.read.schema(MANIFEST).json(f"{base}/manifest").inputFiles()
+        graph.spark.createDataFrame([tuple(r.values()) for r in left], MANIFEST).coalesce(1).write.mode("append").json(f"{base}/manifest")
+        for path in [*files, *(f"{base}/{r['id']}" for r in gone)]:
+            where = graph.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(graph.spark._jsc.hadoopConfiguration()).delete(where, True)
+        graph.spark.catalog.refreshByPath(f"{base}/manifest")
+    return {"ok": True, "pruned": len(gone), "kept": len(left)}
+
+
 @guarded
 def restore(graph: Graph, base: str, name: str) -> dict:
     """Replaces the store's quads."""
