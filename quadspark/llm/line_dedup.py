@@ -348,7 +348,8 @@ def _judged(docs: DataFrame, had, with_text: bool, edits: int, least: int) -> Da
     rows = with_row(named, "doc_id", "text", row)
     slim = rows.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text"), had.alias("had"))
     none = F.lit(None).cast("array<int>").alias("gone")
-    found = slim.join(removals(slim.select("row", "text"), edits, least), "row", "left").select("text", "had", "gone")
+    # texts are shuffled at any size, so that small inputs say what large ones need
+    found = slim.join(removals(slim.select("row", "text"), edits, least).hint("merge"), "row", "left").select("text", "had", "gone")
     unnamed = docs.where("doc_id is null").select(F.col("text").cast("string").alias("text"), had.alias("had"), none)
     kind = found.schema["had"].dataType.simpleString()
     return found.unionByName(unnamed).mapInArrow(_kept(with_text), f"had {kind}, text string, n_lines long, n_removed long")
