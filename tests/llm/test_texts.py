@@ -329,3 +329,42 @@ def test_secrets_against_brute_force(spark):
     assert collections.Counter(tuple(r) for r in got) == expected
     assert sum(len(r.spans) > 0 for r in got) > 100 and any("user" in r.spans for r in got) and any("key" in r.spans and "access" not in r.spans for r in got)
     assert secret_scan.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_quality_verdicts_against_brute_force(spark):
+    """Limits from exact quartiles, as sketches of this size hold every value: of the group, else its language, else all."""
+    rng = np.random.default_rng(4)
+    docs = []
+    for lang, source, n in (("en", "a", 150), ("en", "b", 30), ("de", "a", 40), (None, None, 45), ("", None, 20)):
+        for _ in range(n):
+            w = prose(len(docs), int(rng.integers(40, 120))).split()
+            w += ["#" * int(rng.integers(1, 60))] * int(rng.integers(0, 2)) + ["a b c"] * int(rng.choice([0, 0, 0, 4, 30]))
+            w += ["x" * int(rng.integers(100, 2000))] * int(rng.random() < 0.1)
+            docs.append((len(docs), "\n".join(w[i : i + 6] and " ".join(w[i : i + 6]) for i in range(0, len(w), 6)) + "\nsame line" * int(rng.choice([0, 0, 0, 12])), lang, source))
+    docs += [docs[3], (None, docs[5][1], "en", "a"), (900, None, "en", "a")]
+    got = quality_rules.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()
+    base = collections.defaultdict(list)
+    for r in got:
+        base[r.doc_id].append(r)
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(d[0] for d in docs)
+    lines = {i: len([x for x in (t or "").split("\n") if x.strip()]) for i, t, _, _ in docs}
+    ratios = lambda r: {"symbol_ratio": r.n_symbols / max(r.word_chars, 1), "dup_line_ratio": r.n_dup_lines / max(lines[r.doc_id], 1), "repeat_ratio": r.n_repeat_words / max(r.n_words, 1), "mean_word": r.word_chars / max(r.n_words, 1)}
+    rows = [(lang, source, base[i][0]) for i, _, lang, source in docs]
+    good = [(lang, source, ratios(r)) for lang, source, r in rows if not r.base_failed]
+    assert 300 > len(good) > 200 and len(good) < len(rows)
+
+    def quartile(values, p):
+        return sorted(values)[max(int(np.ceil(p * len(values))) - 1, 0)]
+
+    dropped = 0
+    for lang, source, r in rows:
+        pools = [[x for a, b, x in good if (a, b) == (lang, source)], [x for a, _, x in good if a == lang], [x for _, _, x in good]]
+        pool = next((p for p in pools[:2] if len(p) >= quality_rules.LEAST_GROUP), pools[2])
+        kept = not r.base_failed
+        for name, value in ratios(r).items():
+            low, high = (quartile([x[name] for x in pool], p) for p in (0.25, 0.75))
+            width = 4.0 * max(high - low, quality_rules.LEAST_SPREAD[name])
+            kept &= value <= high + width and (name != "mean_word" or value >= low - width)
+        assert all(x.kept == kept for x in base[r.doc_id]), r
+        dropped += not r.base_failed and not kept
+    assert dropped > 10
