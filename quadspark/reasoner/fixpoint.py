@@ -7,6 +7,8 @@ all rules of a round see its start, which gives the same closure with fewer writ
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from ..operators.patterns import Compiler, Dataset
 from ..plans import algebra as A
 from ..plans.parser import ParseError
 from ..scope import resolve
-from ..store import bare, in_graph, local_df, minus, pin
+from ..store import MOST_PIECES, bare, in_graph, local_df, minus, pin, pinned
 from .rules import RULE_SETS, Rule, RuleSet
 
 DERIVED_BY = f"<{T.ENGINE}derivedBy>"
@@ -154,15 +156,19 @@ def over_delete(graph: Graph, inferred: str | None, retracted) -> int:
         start = local_df(spark, rows, "t string").distinct()
     own = in_graph(store.quads, inferred)
     edges = own.where(F.col("p") == DERIVED_FROM).select(F.col("s").alias("head"), F.col("o").alias("premise"))
-    seen = frontier = pin(start)
-    gone = None
-    while not frontier.isEmpty():
-        heads = edges.join(frontier, F.col("premise") == F.col("t"), "left_semi").select(F.col("head").alias("n")).distinct()
-        frontier = pin(heads.join(seen, F.col("n") == F.col("t"), "left_anti").select(F.col("n").alias("t")))
-        seen = pin(seen.union(frontier))
-        gone = frontier if gone is None else pin(gone.union(frontier))
-    if gone is None:
+    start = frontier = pin(start)
+    found: list[DataFrame] = []  # one table per round; rewritten together only when they are many
+    while True:
+        heads = edges.join(frontier, F.col("premise") == F.col("t"), "left_semi").select(F.col("head").alias("t")).distinct()
+        frontier, n = pinned(heads.join(reduce(DataFrame.union, found, start), "t", "left_anti"))
+        if not n:
+            break
+        found.append(frontier)
+        if len(found) == MOST_PIECES:
+            found = [pin(reduce(DataFrame.union, found))]
+    if not found:
         return 0
+    gone = reduce(DataFrame.union, found)
     doomed = gone.select(F.col("t").alias("term"))
     triples = own.withColumn("term", F.concat_ws(" ", F.lit("<<"), "s", "p", "o", F.lit(">>"))).join(doomed, "term", "left_semi").drop("term")
     notes = own.join(doomed, F.col("s") == F.col("term"), "left_semi")

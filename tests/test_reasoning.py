@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quadspark import changeset, reasoner, shacl
 from quadspark.functions import terms as T
 from quadspark.graph import Graph
+from quadspark.reasoner import fixpoint
 from quadspark.reasoner.fixpoint import DERIVED_BY, DERIVED_FROM
 from quadspark.scope import Scope
 
@@ -100,6 +101,19 @@ def test_incremental(spark):
     assert reasoner.dred(g, scope=scope, changes=other)["reason"] == "changeset_scope_mismatch_for_reasoner"
 
 
+@pytest.mark.parametrize("pieces", [16, 3])
+def test_over_delete_follows_long_chains_and_cycles(spark, monkeypatch, pieces):
+    monkeypatch.setattr(fixpoint, "MOST_PIECES", pieces)
+    n = [(f"<urn:n{i}>", "<urn:p>", "<urn:o>") for i in range(9)]
+    name = ["<< " + " ".join(t) + " >>" for t in n]
+    notes = [(name[i + 1], DERIVED_FROM, name[i]) for i in range(7)] + [(name[1], DERIVED_FROM, name[7]), (name[3], DERIVED_FROM, name[0])]
+    g = Graph(spark)
+    g.store.insert(spark.createDataFrame([(*t, I) for t in n + notes], "s string, p string, o string, g string"))
+    assert fixpoint.over_delete(g, I, [("urn:m", "urn:p", "<urn:o>")]) == 0
+    assert fixpoint.over_delete(g, I, [("urn:n0", "urn:p", "<urn:o>")]) == 7 + len(notes)
+    assert {r.s for r in g.store.quads.collect()} == {n[0][0], n[8][0]}
+
+
 SH = f"@prefix sh: <{T.SH}> . @prefix : <urn:> . @prefix xsd: <{T.XSD}> . "
 
 
