@@ -1,6 +1,6 @@
 """Benchmark decontamination by an FM-index per training shard.
 
-A shard is some millions of words of one task. Words that no benchmark item has,
+A shard is about a million words of one task. Words that no benchmark item has,
 and words in no short word sequence (q-gram) of an item, cannot lie in an occurrence; they
 become separators, the rest are runs in the FM-index. All windows of the
 benchmark are searched backward at once through wavelet ranks, occurrences are
@@ -32,7 +32,7 @@ from .shared import bounded_batches, cut, with_row
 from .fm_index import FMIndex
 
 BLOCK_BYTES = 4 << 20
-SHARD_WORDS = 3_000_000
+SHARD_WORDS = 1_000_000
 
 
 class Patterns:
