@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import capabilities, changeset, emit, ir, reasoner, shacl
 from . import reasons as R
-from .catalogue import _A, _G, _I, _K, _RDF_TYPE, _SUB, _SUBS, NS, PREFIX, _annotated, _context, _counts, _inferred, _reasoned, _run, _shapes, mapped, query, sparql, subject, table
+from .catalogue import _A, _G, _I, _K, _RDF_TYPE, _SUB, _SUBS, C, NS, PREFIX, _annotated, _context, _counts, _inferred, _reasoned, _run, _shapes, mapped, query, sparql, subject, table
 from .functions import terms as T
 from .graph import Graph
 from .ir import relational_backend, router, sparql_backend
@@ -479,6 +479,20 @@ def ethereal_calls(spark, d):
     return spark.createDataFrame([(inserted, again, left, anew, EtherealGraph(g, "urn:g:none", MemoryBlob()).hydrate()["reason"])], "inserted long, again string, left_over long, anew long, missing string")
 
 
+@query("ethereal_folder", f"SELECT {C} AS x, c_name AS n, c_acctbal AS b FROM customer")
+def ethereal_folder(spark, d):
+    """Customers by way of a folder of N-Triples that tasks write and read."""
+    from .ethereal import EtherealGraph
+    from .sources.blobs import FolderBlob
+
+    iri, blob = f"urn:g:{uuid.uuid4().hex}", FolderBlob(spark, _folder(spark, "blob"))
+    EtherealGraph(Graph(spark, mapped(spark, d, "Customer", graphs={"Customer": iri})), iri, blob).checkpoint()
+    g = Graph(spark)
+    EtherealGraph(g, iri, blob).hydrate()
+    blob.purge()
+    return g.select_df(PREFIX + f"SELECT ?x ?n ?b WHERE {{ GRAPH <{iri}> {{ ?x c:name ?n ; c:acctbal ?b }} }}", types={"x": "iri", "n": "string", "b": "double"})
+
+
 # query algebra
 @query("ir_refusals", _table_of({"empty": "ir_invalid", "no find": "ir_invalid", "offset": "ir_invalid", "count": "ir_invalid", "op": "ir_invalid", "model": "model_unknown", "column": "ar_query_error", "backend": "unknown_backend", "capability": "backend_missing_capability", "none loaded": "ar_not_loaded"}))
 def ir_refusals(spark, d):

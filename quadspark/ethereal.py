@@ -1,14 +1,19 @@
-"""Durable graphs: a named graph that is hydrated from a blob and checkpointed to it."""
+"""Durable graphs: a named graph that is hydrated from a blob and checkpointed to it.
+
+A FolderBlob is read and written by tasks, so its graph may be of any size; other blobs are one text on the driver.
+"""
 
 from __future__ import annotations
 
 import threading
 
+from pyspark.errors import PySparkException
+
 from . import reasons as R
 from .graph import Graph, guarded
 from .sources import ntriples as N
-from .sources.blobs import Blob, slug
-from .store import bare
+from .sources.blobs import Blob, FolderBlob, slug
+from .store import bare, in_graph
 
 CONTENT_TYPE = "application/n-triples"
 BATCH = 1000
@@ -33,7 +38,7 @@ def reset() -> None:
 class EtherealGraph:
     """policy: `explicit`, or `save` to checkpoint by saved()."""
 
-    def __init__(self, graph: Graph, iri: str | None, blob: Blob, policy: str = "explicit"):
+    def __init__(self, graph: Graph, iri: str | None, blob: Blob | FolderBlob, policy: str = "explicit"):
         if policy not in ("explicit", "save"):
             raise ValueError("policy is `explicit` or `save`")
         self.graph, self.iri, self.blob, self.policy = graph, iri, blob, policy
@@ -52,18 +57,28 @@ class EtherealGraph:
                 return R.refused(R.ALREADY_HYDRATED, f"{self.iri} is already hydrated")
         if not self.blob.attached():
             return R.refused(R.NO_BLOB, "no blob is attached")
-        text = self.blob.download()
         try:
-            rows = [(*t, bare(self.iri)) for t in N.triples(text)]
+            rows = self._rows()
+            if rows is None:
+                return R.refused(R.EMPTY_BLOB, "the blob has no triples")
+            n = self.graph.store.insert(rows)
         except N.ParseError as e:
             return R.refused(R.INVALID_DSL, e)
-        if not rows:
-            return R.refused(R.EMPTY_BLOB, "the blob has no triples")
-        n = self.graph.store.insert(self.graph.store.rows(rows))
+        except PySparkException as e:
+            if "not N-Triples" not in str(e) and N.ParseError.__name__ not in str(e):  # an error of a task, not of a row
+                raise
+            return R.refused(R.INVALID_DSL, e)
         with _lock:
             _hydrated.add((id(self.graph), bare(self.iri)))
         return {"ok": True, "inserted": n}
 
+    def _rows(self):
+        """The blob's quads, or None if there are none."""
+        if isinstance(self.blob, FolderBlob):
+            return None if self.blob.empty() else self.blob.frame(bare(self.iri))
+        found = [(*t, bare(self.iri)) for t in N.triples(self.blob.download())]
+        return self.graph.store.rows(found) if found else None
+
     @guarded
     def checkpoint(self) -> dict:
         if error := self._undeclared():
@@ -72,6 +87,8 @@ class EtherealGraph:
             return R.refused(R.REENTRANT_CHECKPOINT, "a checkpoint is under way")
         self._busy.on = True
         try:
+            if isinstance(self.blob, FolderBlob):
+                return {"ok": True, "written": self.blob.attach_frame(in_graph(self.graph.store.quads, self.iri))}
             text = "".join(sorted(r["value"] + "\n" for r in self.graph.ntriples(self.iri).toLocalIterator()))
             self.blob.attach(text, slug(bare(self.iri)) + ".nt", CONTENT_TYPE)
         finally:

@@ -9,7 +9,7 @@ from quadspark.ethereal import EtherealGraph, reset
 from quadspark.functions import terms as T
 from quadspark.graph import Graph
 from quadspark.ir import router, sparql_backend
-from quadspark.sources.blobs import FileBlob, MemoryBlob, slug
+from quadspark.sources.blobs import FileBlob, FolderBlob, MemoryBlob, slug
 from quadspark.streaming.ingest import ingest
 
 ROWS = [(1, "A1", "Epson", "Alpha", 100), (2, "A2", "Epson", "Beta", 200), (3, "B1", "Canon", "Gamma", 150)]
@@ -178,6 +178,35 @@ def test_durable_graphs(spark, tmp_path):
     assert not file.attached() and slug("///") == "graph" and len(slug("x" * 300)) == 120
 
 
+def test_durable_graphs_in_a_folder(spark, tmp_path):
+    reset()
+    blob, text = FolderBlob(spark, f"file://{tmp_path}/g"), T.literal("two\nlines \r # no comment")
+    rows = [("<urn:a>", "<urn:p>", text, "urn:host:1"), ("<< <urn:a> <urn:p> <urn:b> >>", "<urn:by>", "<urn:me>", "urn:host:1"), ("<urn:a>", "<urn:p>", "<urn:c>", None)]
+    g = Graph(spark)
+    g.store.insert(g.store.rows(rows))
+    e = EtherealGraph(g, "urn:host:1", blob, policy="save")
+    assert not blob.attached() and e.hydrate()["reason"] == "no_blob"
+    written = e.checkpoint()["written"]
+    assert written == e.saved()["written"] == sum(len(" ".join([*r[:3], "."])) + 1 for r in rows[:2]) and blob.attached()
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["g"]
+    h = Graph(spark)
+    other = EtherealGraph(h, "urn:host:1", blob)
+    assert other.hydrate() == {"ok": True, "inserted": 2} and other.hydrate()["reason"] == "already_hydrated"
+    assert {tuple(r) for r in h.store.quads.collect()} == set(rows[:2])
+    # a swap that was cut short leaves the old version
+    (tmp_path / "g").rename(tmp_path / "g.old")
+    again = EtherealGraph(Graph(spark), "urn:host:1", blob)
+    assert again.hydrate()["inserted"] == 2 and again.checkpoint()["written"] == written
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["g"]
+    for name, line, reason in (("empty", "# c", "empty_blob"), ("blank", " ", "empty_blob"), ("plain", "<> <urn:p> <urn:o> .", "invalid_dsl"), ("star", "<< <urn:a> <urn:p> >> <urn:p> <urn:o> .", "invalid_dsl")):
+        spark.createDataFrame([(line,)], "value string").write.text(f"file://{tmp_path}/{name}")
+        k = Graph(spark)
+        bad = EtherealGraph(k, "urn:h", FolderBlob(spark, f"file://{tmp_path}/{name}"))
+        assert bad.hydrate()["reason"] == reason == bad.hydrate()["reason"] and k.store_size()["count"] == 0, name
+    blob.purge()
+    assert not blob.attached()
+
+
 def test_capabilities():
     assert capabilities.rdf_star_writes_enabled() and capabilities.checkpoint_can_round_trip("ntriples_star")
     assert capabilities.sparql_method_available("select") and not capabilities.sparql_method_available("nope")
