@@ -57,10 +57,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents as pieces, with the three best segmentations' losses and the exact round trip."""
+    """Whole documents as pieces: ids and losses of the three best segmentations, and the exact round trip."""
     from .sentence_pieces import encode
 
-    return encode(table(spark, sf_dir, "documents"), n=3)
+    return encode(table(spark, sf_dir, "documents"), n=3, with_n_best=True)
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

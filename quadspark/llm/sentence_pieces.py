@@ -243,7 +243,7 @@ class Encoded:
     """A chunk of texts: ids of all rows, and what their N-best search needs."""
 
     def __init__(self, v: Vocabulary, data: np.ndarray, offsets: np.ndarray):
-        self.v, self.known = v, {}
+        self.v, self.known, self.others = v, {}, {}
         size = np.diff(offsets)
         # a space before each text that is not empty, as the model wants
         lead = (size > 0).astype(np.int64)
@@ -280,8 +280,8 @@ class Encoded:
         self.seg_ids, self.seg_first = ids, begin[first]
         n = np.diff(self.seg_first)
         self.ids = ids[K.ranges(self.seg_first[:-1][self.segment], n[self.segment])]
-        total = np.concatenate([[0], np.cumsum(n[self.segment])])
-        self.id_first = total[self.row_first]
+        self.at_segment = np.concatenate([[0], np.cumsum(n[self.segment])])  # first id of each segment of the rows
+        self.id_first = self.at_segment[self.row_first]
         best = self.lattices.best_score[self.segment]
         self.scores = np.array([best[a:b].sum() for a, b in zip(self.row_first[:-1].tolist(), self.row_first[1:].tolist(), strict=True)], np.float64)
 
@@ -323,22 +323,25 @@ class Encoded:
         return [[x for x, _ in row] for row in self.n_best_choices(n)]
 
     def n_best_ids(self, row: int, choices: list[tuple[float, tuple]]) -> list[np.ndarray]:
-        """The id sequences of a row's n_best_choices."""
+        """The id sequences of a row's n_best_choices: the best one's ids, but for the segments in which they differ."""
         first = int(self.row_first[row])
-        seg = self.segment[first : int(self.row_first[row + 1])]
         out = []
         for _, chosen in choices:
-            other = dict(chosen)
-            parts = []
-            for k, s in enumerate(seg.tolist() if other else ()):
-                if k in other:
-                    steps = np.array(self.known[s][1][other[k]], np.int64)
-                    parts.append(self.lattices.ids(steps[:, 0] + int(self.lattices.first[s]), steps[:, 1])[0])
-                else:
-                    parts.append(self.seg_ids[self.seg_first[s] : self.seg_first[s + 1]])
-            out.append(np.concatenate(parts) if other else self.ids[self.id_first[row] : self.id_first[row + 1]])
+            parts, done = [], self.id_first[row]
+            for k, r in sorted(chosen):
+                parts += [self.ids[done : self.at_segment[first + k]], self._other_ids(int(self.segment[first + k]), r)]
+                done = self.at_segment[first + k + 1]
+            parts.append(self.ids[done : self.id_first[row + 1]])
+            out.append(np.concatenate(parts))
         return out
 
+    def _other_ids(self, segment: int, rank: int) -> np.ndarray:
+        """Ids of a segment's segmentation of this rank."""
+        if (segment, rank) not in self.others:
+            steps = np.array(self.known[segment][1][rank], np.int64)
+            self.others[segment, rank] = self.lattices.ids(steps[:, 0] + int(self.lattices.first[segment]), steps[:, 1])[0]
+        return self.others[segment, rank]
+
 
 def decode(v: Vocabulary, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of the rows (each with the leading space of the model) and their offsets."""
@@ -352,7 +355,7 @@ def decode_text(v: Vocabulary, ids) -> str:
     return raw.tobytes()[1:].decode("utf-8")
 
 
-OUTPUTS = ("n_pieces", "ids_sha256", "score", "n_best", "second_loss", "round_trip", "ids", "n_best_ids")
+OUTPUTS = ("n_pieces", "ids_sha256", "score", "n_best", "second_loss", "round_trip", "ids", "n_best_ids", "n_best_losses")
 
 
 def _encode(model, keep: list[str], n: int, with_ids: bool, with_n_best: bool):
@@ -379,21 +382,24 @@ def _encode(model, keep: list[str], n: int, with_ids: bool, with_n_best: bool):
                     columns.append(pa.ListArray.from_arrays(pa.array(e.id_first, pa.int32()), pa.array(raw, pa.int32())))
                     names.append("ids")
                 if with_n_best:
-                    columns.append(pa.array([[x.tolist() for x in e.n_best_ids(d, c)] for d, c in enumerate(choices)], pa.list_(pa.list_(pa.int32()))))
-                    names.append("n_best_ids")
+                    found = [x for d, c in enumerate(choices) for x in e.n_best_ids(d, c)]
+                    rows = pa.array(np.cumsum([0, *map(len, choices)]), pa.int32())
+                    own = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found).astype(np.int32, copy=False)))
+                    columns += [pa.ListArray.from_arrays(rows, own), pa.ListArray.from_arrays(rows, pa.array([x for c in choices for x, _ in c], pa.float64()))]
+                    names += OUTPUTS[7:]
                 yield pa.record_batch(columns, names=names)
 
     return run
 
 
 def encode(docs: DataFrame, model_path: str = MODEL, n: int = 3, keep: tuple = ("doc_id",), with_ids: bool = False, with_n_best: bool = False) -> DataFrame:
-    """Columns `keep` of docs with n_pieces, ids_sha256 (of the ids as little-endian int32), score, n_best (found, n at most), second_loss (score lost by the second best), round_trip[, ids][, n_best_ids]."""
+    """Columns `keep` of docs with n_pieces, ids_sha256 (of the ids as little-endian int32), score, n_best (found, n at most), second_loss (score lost by the second best), round_trip[, ids][, n_best_ids (the best first), n_best_losses (the score that each loses)]."""
     bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
     keep = [c for c in keep if c.lower() not in OUTPUTS]
     source = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = "".join(f"`{c}` {source.schema[c].dataType.simpleString()}, " for c in keep)
-    schema += "n_pieces long, ids_sha256 string, score double, n_best long, second_loss double, round_trip boolean" + ", ids array<int>" * with_ids + ", n_best_ids array<array<int>>" * with_n_best
+    schema += "n_pieces long, ids_sha256 string, score double, n_best long, second_loss double, round_trip boolean" + ", ids array<int>" * with_ids + ", n_best_ids array<array<int>>, n_best_losses array<double>" * with_n_best
     return source.withColumn("text", F.col("text").cast("string")).mapInArrow(_encode(model, keep, n, with_ids, with_n_best), schema)
 
 

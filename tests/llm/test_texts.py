@@ -242,6 +242,28 @@ def test_pieces_of_the_model(spark):
     assert sentence_pieces.encode(df.limit(0)).collect() == []
 
 
+def test_pieces_query_returns_the_segmentations(spark, tmp_path):
+    """The query gives each of the three best segmentations whole, with the score it loses; each is the text's."""
+    from quadspark.llm import queries
+
+    docs = [(i, t) for i, t in corpus()] + [(100, "zq \t\n x" * 9), (101, "word"), (102, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in queries.op3_sentencepiece(spark, str(tmp_path)).collect()}
+    assert len(rows) == len(docs)
+    model = sentence_pieces.read_model()
+    v = sentence_pieces.Vocabulary(model)
+    score = dict(zip(model["ids"], model["scores"], strict=True))
+    for i, t in docs:
+        r = rows[i]
+        assert len(r.n_best_ids) == len(r.n_best_losses) == r.n_best == len({tuple(x) for x in r.n_best_ids})
+        assert r.n_best == 3 if re.search("[a-z]{3}", t or "") else r.n_best >= 1
+        assert hashlib.sha256(np.array(r.n_best_ids[0], "<i4").tobytes()).hexdigest() == r.ids_sha256 and len(r.n_best_ids[0]) == r.n_pieces
+        assert [sentence_pieces.decode_text(v, x) if x else "" for x in r.n_best_ids] == [t or ""] * r.n_best
+        assert r.n_best_losses[0] == 0 and r.n_best_losses == sorted(r.n_best_losses) and r.n_best_losses[1:2] == [r.second_loss][: r.n_best - 1]
+        if all(x in score for ids in r.n_best_ids for x in ids):
+            assert [r.score - sum(score[x] for x in ids) for ids in r.n_best_ids] == pytest.approx(r.n_best_losses, abs=1e-6)
+
+
 def test_kernel_model_against_sets(spark):
     """The presence kernel by Python sets gives the same scores; a text in slices has the n-grams of the whole."""
     texts = [" ".join((a * k + b)[:9] for k in range(1, 9)) for a in ("la", "der", "the") for b in ("x", "ying", "é")]
