@@ -41,6 +41,10 @@ class Dataset:
 
 #: Joins with more possibly unbound shared variables are made by one condition.
 MOST_OPEN = 4
+#: Variables of this prefix (no query can name them) hold the number of solutions that a row stands for; several are multiplied.
+WEIGHT = "?#"
+#: Expressions with these are evaluated for every solution.
+EACH = ("exists", "RAND", "UUID", "STRUUID", "BNODE")
 
 
 def _by_bound(df: DataFrame, columns: dict[str, str]):
@@ -280,6 +284,35 @@ class Compiler:
                 out = part if out is None else out.unionByName(part)
         return self._merged(out, left, right, shared, inner=True)
 
+    def _folded(self, pattern, graph, needed: set[str]) -> Solutions:
+        """Solutions of a pattern of which only the needed variables and the number of solutions matter.
+
+        Where a join can be a product (nothing is shared, or a shared variable can be unbound), its sides are grouped
+        by what is shared or needed first, so pairs of solutions that nothing tells apart are counted and not made."""
+        if isinstance(pattern, A.Filter) and not any(_has(pattern.condition, op) for op in EACH):
+            return self.filter(self._folded(pattern.node, graph, needed | _expr_vars(pattern.condition)), pattern.condition, graph)
+        if isinstance(pattern, A.Graph):
+            return self._folded(pattern.node, pattern.name, needed)
+        if not isinstance(pattern, A.Join) or isinstance(pattern.left, A.BGP) and isinstance(pattern.right, A.BGP):
+            return self.compile(pattern, graph)
+        right = self.compile(pattern.right, graph)
+        left = self._folded(pattern.left, graph, needed | set(right.vars))
+        shared = [v for v in right.vars if v in left.vars]
+        if not shared or not all(left.vars[v] and right.vars[v] for v in shared):
+            left, right = self._fold(left, needed | set(shared)), self._fold(right, needed | set(shared))
+        return self.join(left, right)
+
+    def _fold(self, node: Solutions, kept: set[str]) -> Solutions:
+        """One row for each binding of the kept variables, with its weight."""
+        keep = [v for v in node.vars if v in kept]
+        if all(v in kept or v.startswith(WEIGHT) for v in node.vars):
+            return node
+        name = f"{WEIGHT}{next(self._fresh)}"
+        each = _weight(node)
+        df = node.df.groupBy(*(column(v) for v in keep)).agg(F.sum(F.lit(1) if each is None else each).alias(column(name)))
+        # without a key, no rows give one row without a number
+        return Solutions(df if keep else df.where(F.col(column(name)).isNotNull()), {**{v: node.vars[v] for v in keep}, name: True})
+
     def _merged(self, df: DataFrame, left: Solutions, right: Solutions, shared: list[str], inner: bool) -> Solutions:
         out, certain = [], {}
         for v in dict.fromkeys([*left.vars, *right.vars]):
@@ -405,7 +438,8 @@ class Compiler:
     # select
 
     def select(self, q: A.Select, graph=None) -> Solutions:
-        node = self.compile(q.where, graph)
+        needed = _counted_vars(q) if q.grouped else None
+        node = self.compile(q.where, graph) if needed is None else self._folded(q.where, graph, needed)
         names = [v for v, _ in q.projection] if q.projection is not None else [v for v in A.variables(q.where)]
         if q.grouped:
             node, q = self._grouped(node, q, graph)
@@ -515,10 +549,13 @@ class Compiler:
 
     def _aggregate(self, name: str, kind: str, distinct: bool, value: V | None, separator: str, node: Solutions, values: dict) -> list[Column]:
         if kind == "COUNT":
+            each = _weight(node)
             if value is None:
-                col = F.count_distinct(F.struct(*(column(v) for v in node.vars))) if distinct and node.vars else F.count(F.lit(1))
-            else:
+                col = F.count_distinct(F.struct(*(column(v) for v in node.vars))) if distinct and node.vars else F.count(F.lit(1)) if each is None else F.coalesce(F.sum(each), F.lit(0))
+            elif distinct or each is None:
                 col = F.count_distinct(value.term()) if distinct else F.count(value.term())
+            else:
+                col = F.coalesce(F.sum(F.when(value.term().isNotNull(), each)), F.lit(0))
             values[name] = V("num", F.col(name).cast("double"), F.lit(True))
             return [col.alias(name)]
         if kind in ("SUM", "AVG"):
@@ -548,6 +585,35 @@ class Compiler:
         raise EvaluationError(f"unknown aggregate {kind}")
 
 
+def _weight(node: Solutions) -> Column | None:
+    """How many solutions a row stands for (None: one)."""
+    out = None
+    for v in node.vars:
+        if v.startswith(WEIGHT):
+            out = F.col(column(v)) if out is None else out * F.col(column(v))
+    return out
+
+
+def _counted_vars(q: A.Select) -> set[str] | None:
+    """The variables that a grouped query reads, if its aggregates need no more than the number of equal solutions; else None."""
+    parts = [*(e for _, e in q.group), *(e for _, e in q.projection or () if e is not None), *q.having, *(e for e, _ in q.order)]
+    if any(_has(e, op) for e in parts for op in EACH):
+        return None
+    for _, kind, distinct, value, _ in itertools.chain.from_iterable(map(_aggregates, parts)):
+        # COUNT(DISTINCT *) reads all; sums are left as they are, as weights would round them otherwise
+        if value is None if distinct else kind not in ("COUNT", "MIN", "MAX", "SAMPLE"):
+            return None
+    return set().union(*map(_expr_vars, parts))
+
+
+def _aggregates(e):
+    if isinstance(e, tuple):
+        if e[:1] == ("agg",):
+            yield e
+        for x in e[1:]:
+            yield from _aggregates(x)
+
+
 def _all_vars(t: A.Triple) -> list[str]:
     out = []
     for x in (t.s, t.p, t.o):

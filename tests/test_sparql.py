@@ -216,3 +216,31 @@ def test_random_patterns(spark, seed):
         return
     got = sorted(tuple(row[n[1:]] for n in names) for row in g.select(text)["results"])
     assert got == want
+
+
+def test_counts_over_products(spark):
+    """Grouped counts after an OPTIONAL equal those of the listed solutions, and the product itself is not made."""
+    rnd = random.Random(5)
+    rows = [f"<urn:x{i}> <urn:p> <urn:l{rnd.randrange(3)}> ." for i in range(40)]
+    rows += [f"<urn:x{i}> <urn:q> <urn:v{rnd.randrange(3)}> ." for i in range(0, 40, 3)]
+    rows += [f"<urn:y{i}> <urn:t> <urn:v{rnd.randrange(2)}> ." for i in range(25)] + [f"<urn:z{i}> <urn:u> <urn:v{i % 3}> ." for i in range(7)]
+    g = Graph(spark)
+    assert g.execute("INSERT DATA { " + " ".join(rows) + " GRAPH <urn:g> { " + " ".join(rows) + " } }")["ok"]
+    after = "{ ?x <urn:p> ?l OPTIONAL { ?x <urn:q> ?q } } { ?y <urn:t> ?q }"
+    patterns = [after, after + " FILTER(?l != ?q || !BOUND(?q) || ?q = <urn:v1>)", after + " { ?z <urn:u> ?w }", after + " OPTIONAL { ?y <urn:none> ?w }", f"GRAPH ?h {{ {after} }}", "{ ?x <urn:p> ?l } { SELECT ?q ?w WHERE { ?z <urn:u> ?q OPTIONAL { ?z <urn:none> ?w } } }", "{ ?x <urn:p> ?l OPTIONAL { ?x <urn:q> ?q } } { ?y <urn:none> ?q }"]
+    for pattern in patterns:
+        every = g.select(f"SELECT * WHERE {{ {pattern} }}")["results"]
+        for keys in ([], ["l"], ["q"], ["l", "q"]):
+            groups = {}
+            for r in every:
+                groups.setdefault(tuple(r.get(k) for k in keys), []).append(r)
+            if not keys:
+                groups.setdefault((), [])
+            want = {k: (len(rs), sum(r.get("q") is not None for r in rs), len({r["q"] for r in rs if r.get("q")}), max((r["l"] for r in rs), default=None)) for k, rs in groups.items()}
+            by = " ".join(f"?{k}" for k in keys)
+            got = g.select(f"SELECT {by} (COUNT(*) AS ?n) (COUNT(?q) AS ?m) (COUNT(DISTINCT ?q) AS ?d) (MAX(?l) AS ?top) WHERE {{ {pattern} }} " + (f"GROUP BY {by}" if keys else ""))["results"]
+            assert {tuple(r.get(k) for k in keys): (*(T.parse_plain(r[c]) for c in "nmd"), r.get("top")) for r in got} == want and len(got) == len(want)
+    plan = g.select_df(f"SELECT ?l (COUNT(*) AS ?n) WHERE {{ {after} }} GROUP BY ?l")._jdf.queryExecution().optimizedPlan().toString()
+    depth = [(len(line) - len(line.lstrip(" :+-")), line.lstrip(" :+-").split()[0]) for line in plan.splitlines()]
+    product = next(k for k, (_, name) in enumerate(depth) if name == "Join")
+    assert [name for d, name in depth[product + 1 :] if name == "Aggregate" and d > depth[product][0]]
