@@ -285,8 +285,8 @@ class Encoded:
         best = self.lattices.best_score[self.segment]
         self.scores = np.array([best[a:b].sum() for a, b in zip(self.row_first[:-1].tolist(), self.row_first[1:].tolist(), strict=True)], np.float64)
 
-    def round_trips(self) -> np.ndarray:
-        """Whether the decoded ids of each row equal its text."""
+    def round_trips(self, choices: list | tuple = ()) -> np.ndarray:
+        """Whether the decoded ids of each row equal its text; with all rows' n_best_choices, those of each of them."""
         raw, first = decode(self.v, self.ids, self.id_first)
         same = np.diff(first) == np.diff(self.offsets)
         if same.all():
@@ -295,6 +295,10 @@ class Encoded:
         else:
             for d in np.flatnonzero(same):
                 same[d] = np.array_equal(raw[first[d] : first[d + 1]], self.data[self.offsets[d] : self.offsets[d + 1]])
+        for d, row in enumerate(choices):
+            # sequences differ in these segments only
+            a = int(self.row_first[d])
+            same[d] &= all(self._other(int(self.segment[a + k]), r)[1] for _, chosen in row for k, r in chosen)
         return same
 
     def n_best_choices(self, n: int) -> list[list[tuple[float, tuple]]]:
@@ -329,17 +333,20 @@ class Encoded:
         for _, chosen in choices:
             parts, done = [], self.id_first[row]
             for k, r in sorted(chosen):
-                parts += [self.ids[done : self.at_segment[first + k]], self._other_ids(int(self.segment[first + k]), r)]
+                parts += [self.ids[done : self.at_segment[first + k]], self._other(int(self.segment[first + k]), r)[0]]
                 done = self.at_segment[first + k + 1]
             parts.append(self.ids[done : self.id_first[row + 1]])
             out.append(np.concatenate(parts))
         return out
 
-    def _other_ids(self, segment: int, rank: int) -> np.ndarray:
-        """Ids of a segment's segmentation of this rank."""
+    def _other(self, segment: int, rank: int) -> tuple[np.ndarray, bool]:
+        """Ids of a segment's segmentation of this rank, and whether they decode to what the best one's do."""
         if (segment, rank) not in self.others:
             steps = np.array(self.known[segment][1][rank], np.int64)
-            self.others[segment, rank] = self.lattices.ids(steps[:, 0] + int(self.lattices.first[segment]), steps[:, 1])[0]
+            ids = self.lattices.ids(steps[:, 0] + int(self.lattices.first[segment]), steps[:, 1])[0]
+            best = self.seg_ids[self.seg_first[segment] : self.seg_first[segment + 1]]
+            raw, cuts = decode(self.v, np.concatenate([best, ids]), np.array([0, len(best), len(best) + len(ids)]))
+            self.others[segment, rank] = ids, np.array_equal(raw[: cuts[1]], raw[cuts[1] :])
         return self.others[segment, rank]
 
 
@@ -375,7 +382,7 @@ def _encode(model, keep: list[str], n: int, with_ids: bool, with_n_best: bool):
                     pa.array(e.scores, pa.float64()),
                     pa.array([len(x) for x in choices], pa.int64()),
                     pa.array([x[1][0] if len(x) > 1 else None for x in choices], pa.float64()),
-                    pa.array(e.round_trips()),
+                    pa.array(e.round_trips(choices if with_n_best else ())),
                 ]
                 names = [*keep, *OUTPUTS[:6]]
                 if with_ids:
@@ -393,7 +400,7 @@ def _encode(model, keep: list[str], n: int, with_ids: bool, with_n_best: bool):
 
 
 def encode(docs: DataFrame, model_path: str = MODEL, n: int = 3, keep: tuple = ("doc_id",), with_ids: bool = False, with_n_best: bool = False) -> DataFrame:
-    """Columns `keep` of docs with n_pieces, ids_sha256 (of the ids as little-endian int32), score, n_best (found, n at most), second_loss (score lost by the second best), round_trip[, ids][, n_best_ids (the best first), n_best_losses (the score that each loses)]."""
+    """Columns `keep` of docs with n_pieces, ids_sha256 (of the ids as little-endian int32), score, n_best (found, n at most), second_loss (score lost by the second best), round_trip (the ids, with n_best_ids all of these, decode to the text)[, ids][, n_best_ids (the best first), n_best_losses (the score that each loses)]."""
     bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
     keep = [c for c in keep if c.lower() not in OUTPUTS]
