@@ -45,7 +45,7 @@ UNKNOWN_PENALTY = 10.0
 #: Models give this score or a lower one to pieces that are not meant to be used.
 UNUSED = -1e8
 CHUNK = 1 << 18
-_FILTER_BITS = 22
+_FILTER_BITS, _FIRST_BITS = 22, 16
 
 
 def read_model(path: str = MODEL) -> dict:
@@ -99,7 +99,10 @@ class Vocabulary:
             order = np.argsort(h)
             maybe = np.zeros(1 << _FILTER_BITS, bool)
             maybe[h >> np.uint64(64 - _FILTER_BITS)] = True
-            self.by_length.append((h[order], own[order], maybe) if len(own) else None)
+            h = h[order]
+            # where the hashes of each prefix begin, and the most of one prefix
+            first = np.searchsorted(h >> np.uint64(64 - _FIRST_BITS), np.arange((1 << _FIRST_BITS) + 1, dtype=np.uint64)).astype(np.int32)
+            self.by_length.append((h, own[order], maybe, first, int(np.diff(first).max())) if len(own) else None)
         self.least = float(self.scores[self.scores > UNUSED].min(initial=0.0)) - UNKNOWN_PENALTY
         many = {c for p in pieces if len(p) > 1 for c in p}
         #: ASCII characters at which a text can always be cut, besides the starts of runs of spaces
@@ -134,14 +137,19 @@ class Lattices:
         for k in range(1, self.width + 1):
             if v.by_length[k - 1] is None:
                 continue
-            h, own, maybe = v.by_length[k - 1]
+            h, own, maybe, begin, most = v.by_length[k - 1]
             at = np.flatnonzero(room >= k)
             key = _hash_spans(prefix, at, k)
             hit = maybe[key >> np.uint64(64 - _FILTER_BITS)]
             at, key = at[hit], key[hit]
-            place = np.minimum(np.searchsorted(h, key), len(h) - 1)
-            hit = h[place] == key
-            self.piece[k - 1][at[hit]] = own[place[hit]]
+            place = begin[key >> np.uint64(64 - _FIRST_BITS)]
+            for _ in range(most):
+                np.minimum(place, len(h) - 1, out=place)
+                hit = h[place] == key
+                self.piece[k - 1][at[hit]] = own[place[hit]]
+                at, key, place = at[~hit], key[~hit], place[~hit] + 1
+                if not len(at):
+                    break
         self.order = np.argsort(-lengths, kind="stable")
         self.reach = np.searchsorted(-lengths[self.order], -np.arange(int(lengths.max(initial=0)) + 1), "right")  # segments of at least each depth
         self.node = np.arange(n_seg) + self.first  # node before the first character
@@ -155,7 +163,8 @@ class Lattices:
             for k in range(min(d, self.width), 0, -1):  # the longest piece wins a tie
                 total = self.forward[m - k] + self.value[self.piece[k - 1][c - k]]
                 better = total > best
-                best[better], back[better] = total[better], k
+                np.copyto(best, total, where=better)
+                np.copyto(back, k, where=better, casting="unsafe")
             self.forward[m], self.back[m] = best, back
         self.best_score = self.forward[self.node + lengths]
 
